@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from lodestone.llm import sharding
+from lodestone.llm import sharding, url_filters
 
 
 def queries() -> dict:
-    return {"op1_sharding": sharding.op1_sharding}
+    return {
+        "op1_sharding": sharding.op1_sharding,
+        "op2_url_filters": url_filters.op2_url_filters,
+    }
 
 
 def oracles() -> dict[str, str]:
-    return {"op1_sharding": sharding.OP1_SQL} if hasattr(sharding, "OP1_SQL") else {}
+    return {
+        "op2_url_filters": url_filters.OP2_SQL,
+    }
