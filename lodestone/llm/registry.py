@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from lodestone.llm import sharding, url_filters
+from lodestone.llm import chat, sharding, url_filters
 
 
 def queries() -> dict:
     return {
         "op1_sharding": sharding.op1_sharding,
         "op2_url_filters": url_filters.op2_url_filters,
+        "op3_chat_format": chat.op3_chat_format,
     }
 
 
 def oracles() -> dict[str, str]:
     return {
         "op2_url_filters": url_filters.OP2_SQL,
+        "op3_chat_format": chat.OP3_SQL,
     }
