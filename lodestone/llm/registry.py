@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import chat, secrets, sharding, simhash, url_filters
+from lodestone.llm import chat, quality_rules, secrets, sharding, simhash, url_filters
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_url_filters": url_filters.op2_url_filters,
         "op3_chat_format": chat.op3_chat_format,
         "op4_simhash": simhash.op4_simhash,
+        "op5_quality_rules": quality_rules.op5_quality_rules,
         "op9_secret_scans": secrets.op9_secret_scans,
     }
 
