@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -35,6 +36,21 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+#: Where not None, tables made by :func:`materialise` are noted here.
+_noted: list[DataFrame] | None = None
+
+
+@contextlib.contextmanager
+def noting(tables: list[DataFrame]):
+    """Note the tables that :func:`materialise` makes meanwhile, for a caller that discards them when it is done."""
+    global _noted
+    before, _noted = _noted, tables
+    try:
+        yield
+    finally:
+        _noted = before
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -42,6 +58,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(spark.read.parquet(path).schema).parquet(path)
     out._lodestone_path = path
+    if _noted is not None:
+        _noted.append(out)
     return out
 
 
