@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import byte_bpe, chat, decontamination, lm_scoring, quality_rules, secrets, sharding, simhash, url_filters
+from lodestone.llm import byte_bpe, chat, decontamination, lm_scoring, quality_classifier, quality_rules, secrets, sharding, simhash, url_filters
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_simhash": simhash.op4_simhash,
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op6_lm_scoring": lm_scoring.op6_lm_scoring,
+        "op7_quality_classifier": quality_classifier.op7_quality_classifier,
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_secret_scans": secrets.op9_secret_scans,
         "op10_byte_bpe": byte_bpe.op10_byte_bpe,
