@@ -65,8 +65,7 @@ def secret_scan(spark, docs, sf_dir):
 def encode(spark, docs, sf_dir):
     """doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit) and whether they decode to the text's bytes."""
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = byte_bpe.encode(docs, "text", path, pattern, ["doc_id", "text"])
-    out = byte_bpe.decode(ids, "ids", path, pattern, ["doc_id", "text", "ids"])
+    out = byte_bpe.transcode(docs, "text", path, pattern, ["doc_id", "text"])
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 

@@ -162,7 +162,7 @@ class Codec:
         for k, t in enumerate(texts):
             held.append(self.split(t))
             size += len(t)
-            if size >= 4 * WORDS_BYTES or k == len(texts) - 1:
+            if size >= 2 * WORDS_BYTES or k == len(texts) - 1:
                 self.learn({x for pieces in held for x in pieces})
                 get = self.known.__getitem__
                 out += [b"".join(map(get, pieces)) for pieces in held]
@@ -191,21 +191,35 @@ class Codec:
         return out
 
 
+def _ids(codec: Codec, texts: list) -> list[bytes]:
+    return codec.encode([(t or b"").decode() for t in texts])
+
+
+def _bytes(codec: Codec, encoded: list) -> list[bytes]:
+    return codec.decode([x or b"" for x in encoded])
+
+
 def encode(docs: DataFrame, text: str, ranks_path: str, pattern: str, keep: list[str]) -> DataFrame:
     """The columns ``keep`` with ``ids`` (binary: little-endian unsigned 32-bit integers) of the whole text; null is empty.
 
     A column of ``docs`` named ``ids`` is replaced; equal rows are encoded each.
     """
-    return _mapped(docs, text, keep, "ids", lambda codec, texts: codec.encode([(t or b"").decode() for t in texts]), ranks_path, pattern)
+    return _mapped(docs, text, keep, {"ids": _ids}, ranks_path, pattern)
 
 
 def decode(docs: DataFrame, ids: str, ranks_path: str, pattern: str, keep: list[str]) -> DataFrame:
     """The columns ``keep`` with ``decoded`` (binary) of the id sequences; null is empty."""
-    return _mapped(docs, ids, keep, "decoded", lambda codec, given: codec.decode([x or b"" for x in given]), ranks_path, pattern)
+    return _mapped(docs, ids, keep, {"decoded": _bytes}, ranks_path, pattern)
 
 
-def _mapped(docs: DataFrame, column: str, keep: list[str], new: str, work, ranks_path: str, pattern: str) -> DataFrame:
-    kept = [c for c in keep if c.lower() != new]
+def transcode(docs: DataFrame, text: str, ranks_path: str, pattern: str, keep: list[str]) -> DataFrame:
+    """:func:`encode`, then :func:`decode` of the ids alone, by one codec a task: columns ``keep``, ``ids``, ``decoded``."""
+    return _mapped(docs, text, keep, {"ids": _ids, "decoded": _bytes}, ranks_path, pattern)
+
+
+def _mapped(docs: DataFrame, column: str, keep: list[str], works: dict, ranks_path: str, pattern: str) -> DataFrame:
+    """``keep`` with a binary column for each of ``works``, which get the column before them."""
+    kept = [c for c in keep if c.lower() not in works]
     ranks = read_ranks(ranks_path)
 
     def run(batches):
@@ -213,12 +227,14 @@ def _mapped(docs: DataFrame, column: str, keep: list[str], new: str, work, ranks
         for batch in batches:
             codec = codec or Codec(ranks, pattern)
             given = batch.column(batch.num_columns - 1).cast(pa.binary())
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                made = work(codec, given.slice(at, 2000).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(made, pa.binary())], [*kept, new])
-
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), f"{new} binary"])
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                made = [given.slice(at, 1000).to_pylist()]
+                for work in works.values():
+                    made.append(work(codec, made[-1]))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(x, pa.binary()) for x in made[1:])], [*kept, *works])
+
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), *(f"{c} binary" for c in works)])
     return docs.select(*kept, F.col(column).alias(free_name(docs, "in"))).mapInArrow(run, schema)
 
 
@@ -226,6 +242,5 @@ def op10_byte_bpe(spark, sf_dir):
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", path, pattern, ["doc_id"])
-    out = decode(ids, "ids", path, pattern, ["doc_id", "ids"])
+    out = transcode(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", path, pattern, ["doc_id"])
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
