@@ -22,7 +22,8 @@ def guid_from_halves(high: Column, low: Column) -> Column:
 def _signed(hex_text: Column) -> Column:
     """16 hex digits as a signed 64-bit integer."""
     unsigned = F.conv(hex_text, 16, 10).cast("decimal(20,0)")
-    return F.when(unsigned >= 2**63, unsigned - F.lit(2**64).cast("decimal(20,0)")).otherwise(unsigned).cast("long")
+    half, whole = (F.lit(str(2**k)).cast("decimal(20,0)") for k in (63, 64))
+    return F.when(unsigned >= half, unsigned - whole).otherwise(unsigned).cast("long")
 
 
 def guid_halves(guid: Column) -> tuple[Column, Column]:

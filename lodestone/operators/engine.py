@@ -74,7 +74,7 @@ class Engine:
 
     def tables(self) -> DataFrame:
         """name and number of columns of everything registered."""
-        return self.spark.createDataFrame([(n, len(df.columns)) for n, df in sorted(self.views.items())], "name string, columns int")
+        return self.spark.createDataFrame([(n, len(df.columns)) for n, df in sorted(self.views.items())], "table string, columns int")
 
     def schema(self) -> DataFrame:
         """table, column, ordinal, type and nullability of everything registered."""

@@ -6,29 +6,37 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.operators.engine import Engine
+from lodestone.plans import operator_queries, sql_queries
+
+KEYS = {"customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "nation": "n_nationkey", "region": "r_regionkey", "events": "event_id", "documents": "doc_id"}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def engine(spark: SparkSession, sf_dir: str) -> Engine:
+    """An engine over the tables of a folder."""
+    return Engine(spark, KEYS).register_dir(sf_dir, TABLES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
-    return (
-        table(spark, sf_dir, "lineitem")
-        .filter(F.col("l_quantity") > 10)
-        .groupBy("l_returnflag", "l_linestatus")
-        .agg(F.count("*").alias("cnt"), F.sum("l_quantity").alias("qty"), F.round(F.avg("l_discount"), 6).alias("disc"))
+    """Parameters, filter, aggregate, sort: one query through the dialect."""
+    return engine(spark, sf_dir).sql(
+        "SELECT l_returnflag, l_linestatus, COUNT(*) AS cnt, SUM(l_quantity) AS qty, ROUND(AVG(l_discount), 6) AS disc FROM lineitem WHERE l_quantity > $q GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus",
+        {"q": 10},
     )
 
 
+def _by_sql(text: str, params: dict | None) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: engine(spark, sf_dir).sql(text, params)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"flagship": flagship}
+    out: dict = {"flagship": flagship}
+    out |= {name: _by_sql(text, params) for name, (text, params, _) in sql_queries.ALL.items()}
+    return out | operator_queries.queries()
 
 
 def oracles() -> dict[str, str]:
-    return {
-        "flagship": "SELECT l_returnflag, l_linestatus, COUNT(*) AS cnt, SUM(l_quantity) AS qty, ROUND(AVG(l_discount), 6) AS disc FROM lineitem WHERE l_quantity > 10 GROUP BY l_returnflag, l_linestatus"
-    }
+    out = {"flagship": sql_queries.AGGREGATE["agg_group"][0]}
+    out |= {name: oracle or text for name, (text, _, oracle) in sql_queries.ALL.items()}
+    return out | operator_queries.oracles()

@@ -28,17 +28,17 @@ class MutableTable:
 
     # versions ----------------------------------------------------------------------------------------------------
     def _version(self) -> str | None:
-        at = self._P(f"{self.path}/_CURRENT")
+        at = self._P(f"{self.path}/CURRENT")
         if not self._fs.exists(at):
             return None
-        return self.spark.read.text(f"{self.path}/_CURRENT").first()[0]
+        return self.spark.read.text(f"{self.path}/CURRENT").first()[0]
 
     def _point(self, version: str) -> None:
         tmp = self._P(f"{self.path}/_tmp-{uuid.uuid4().hex}")
         out = self._fs.create(tmp, True)
         out.writeBytes(version)
         out.close()
-        target = self._P(f"{self.path}/_CURRENT")
+        target = self._P(f"{self.path}/CURRENT")
         self._fs.delete(target, False)
         self._fs.rename(tmp, target)
 
