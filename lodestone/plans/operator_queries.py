@@ -467,7 +467,7 @@ def _deps(spark, sf):
     return t(spark, sf, "nation").select(F.col("n_name").alias("source_path"), F.concat(F.lit("r"), F.col("n_regionkey")).alias("target_path"))
 
 
-@_query("SELECT 'r1' AS target, count(*) AS dependents, CASE WHEN count(*) > 10 THEN 0.8 WHEN count(*) > 3 THEN 0.4 ELSE 0.1 END AS risk, CASE WHEN count(*) > 10 THEN 'e2e' WHEN count(*) > 3 THEN 'integration' ELSE 'unit' END AS envelope FROM nation WHERE n_regionkey = 1")
+@_query("SELECT 'r1' AS target, count(*) AS dependents, CAST(CASE WHEN count(*) > 10 THEN 0.8 WHEN count(*) > 3 THEN 0.4 ELSE 0.1 END AS DOUBLE) AS risk, CASE WHEN count(*) > 10 THEN 'e2e' WHEN count(*) > 3 THEN 'integration' ELSE 'unit' END AS envelope FROM nation WHERE n_regionkey = 1")
 def impact_report(spark, sf):
     return analysis.impact_report(_deps(spark, sf), "r1")
 
