@@ -1,16 +1,18 @@
 """Language-model scoring: a probabilistic suffix tree over bytes, beside a smoothed word count model.
 
 The tree's symbols are classes of bytes of the normalised text (A-Z lowered,
-words joined by one blank, one end). Contexts are up to four symbols long. A
+words joined by one blank, one end). Contexts are up to six symbols long. A
 context is a candidate if it makes up ``p_min`` of the training text, which
-bounds the tree by four over ``p_min`` whatever the corpus; it is retained if
+bounds the tree by six over ``p_min`` whatever the corpus; it is retained if
 its next-symbol counts diverge from its suffix's distribution by more than they
 cost to write down. Distributions are smoothed toward the suffix's. A text's
 probability is the product over its bytes, each predicted from the longest
 retained suffix of what is before it, and within its class by the class's byte
-counts. Long and known words are more than four symbols tell, so each token's
-probability mixes the tree's, at ``TREE_SHARE``, with the token's share of the
-training tokens; both sum to one over all tokens, and so does the mixture.
+counts. Known words are more than their last symbols tell, so each token's
+probability mixes the tree's, at ``TREE_SHARE``, with one over known tokens: a
+second tree, whose symbols are classes of words (first and last symbol) and
+whose contexts are the class before, times the token's share of its class. Both
+sum to one over all tokens, and so does the mixture.
 
 Word counts cover the whole corpus. Each input chunk sends its distinct words
 (as 64-bit hashes) with counts, and gets back the corpus counts of just those.
@@ -27,9 +29,12 @@ from lodestone.llm.common import materialise, table
 
 #: Symbol classes of bytes. 0 end, 1 blank, 2-27 letters, 28 digits, 29 stop, 30 comma, 31 other ASCII signs,
 #: 32 controls, 33 the byte C3, 34-36 other lead bytes by length, 37-52 continuation bytes by their low four bits.
-SYMBOLS, DEPTH = 53, 4
+#: Contexts have up to DEPTH symbols; the last DIRECT of them index a table, the ones before follow from state to state.
+SYMBOLS, DEPTH, DIRECT = 53, 6, 4
 CHUNK_BYTES = 4 << 20
-TREE_SHARE = 0.3
+TREE_SHARE = 0.25
+#: Classes of tokens: the end, and first and last symbol of a word.
+CLASSES = SYMBOLS * SYMBOLS + 1
 
 
 def symbol_table() -> np.ndarray:
@@ -64,28 +69,41 @@ def _hashes(held: list[list[bytes]]) -> np.ndarray:
     return np.fromiter((h for w in held for h in map(xxh64_intdigest, w)), dtype=np.uint64, count=sum(map(len, held)))
 
 
-def _coded(held: list[list[bytes]]):
-    """Bytes to predict, their context codes and their symbols. A token is a word and a blank, or the end."""
+def _symbols(held: list[list[bytes]]):
+    """Bytes and symbols of the texts, each after DEPTH ends, and the places to predict. A token is a word and a blank, or the end."""
     pad = b"\n" * DEPTH
     parts = [pad + b" ".join([*w, b"\n"]) for w in held]
     raw = np.frombuffer(b"".join(parts), dtype=np.uint8)
     sizes = np.array([len(x) for x in parts])
-    ends = np.cumsum(sizes)
-    s = symbol_table()[raw]
-    context = np.zeros(len(s), dtype=np.int32)
-    for k in range(DEPTH, 0, -1):
-        context[DEPTH:] = context[DEPTH:] * SYMBOLS + s[DEPTH - k : len(s) - k]
-    real = np.ones(len(s), dtype=bool)
+    starts = np.cumsum(sizes) - sizes
+    real = np.ones(len(raw), dtype=bool)
     for k in range(DEPTH):
-        real[ends - sizes + k] = False
-    return raw[real], context[real], s[real]
+        real[starts + k] = False
+    return raw, symbol_table()[raw], np.flatnonzero(real)
+
+
+def _codes(s: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """The ``length`` symbols up to each place as one number."""
+    out = np.zeros(len(at), dtype=np.int64 if SYMBOLS**length >= 2**31 else np.int32)
+    for k in range(length - 1, -1, -1):
+        out *= SYMBOLS
+        out += s[at - k]
+    return out
+
+
+def _classes(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each token ends among the symbols to predict, and its class; the class before the first token is the end's, 0."""
+    ends = np.flatnonzero(target <= 1)
+    starts = np.r_[0, ends[:-1] + 1]
+    return ends, np.where(ends == starts, 0, target[starts].astype(np.int64) * SYMBOLS + target[np.maximum(ends - 1, 0)] + 1)
 
 
 def gather(docs: DataFrame) -> DataFrame:
     """What the corpus says, by kind, from (chunk, held, text): (kind, chunk, key, n).
 
     0: a chunk's distinct words (hash) with their training count, which may be
-    0; 1: training counts of context and symbol; 2: of bytes; 3: training texts.
+    0; 1: training counts of context and symbol; 2: of bytes; 3: training
+    texts; 4: training counts of a token's class and the one before it.
     """
 
     def merged(parts):
@@ -96,7 +114,7 @@ def gather(docs: DataFrame) -> DataFrame:
         return keys[first], np.add.reduceat(n, first) if len(first) else n
 
     def run(batches):
-        words, grams, texts, chunk = [], [], 0, None
+        words, grams, pairs, texts, chunk = [], [], [], 0, None
         seen = np.zeros(256, dtype=np.int64)
         for batch in batches:
             if not batch.num_rows:
@@ -112,16 +130,17 @@ def gather(docs: DataFrame) -> DataFrame:
                 words.append((keys, np.bincount(where, weights=np.repeat(learn, [len(w) for w in held]), minlength=len(keys)).astype(np.int64)))
                 learnt = [w for w, x in zip(held, learn) if x]
                 if learnt:
-                    data, context, s = _coded(learnt)
-                    keys, n = np.unique(context * SYMBOLS + s, return_counts=True)
-                    grams.append((keys.astype(np.int64), n))
-                    seen += np.bincount(data, minlength=256)
+                    data, s, at = _symbols(learnt)
+                    grams.append(np.unique(_codes(s, at, DEPTH + 1), return_counts=True))
+                    seen += np.bincount(data[at], minlength=256)
+                    kinds = _classes(s[at])[1]
+                    pairs.append(np.unique(np.r_[0, kinds[:-1]] * CLASSES + kinds, return_counts=True))
             if len(words) >= 8:
-                words, grams = [merged(words)], [merged(grams)] if grams else []
+                words, grams, pairs = [merged(words)], [merged(x) for x in [grams] if x], [merged(x) for x in [pairs] if x]
         if chunk is None:
             return
         rows = [(0, *merged(words))] if words else []
-        rows += [(1, *merged(grams))] if grams else []
+        rows += [(1, *merged(grams)), (4, *merged(pairs))] if grams else []
         rows += [(2, np.flatnonzero(seen), seen[seen > 0]), (3, np.zeros(1, np.int64), np.array([texts]))]
         for kind, keys, n in rows:
             for at in range(0, len(keys), 1 << 18):
@@ -134,8 +153,22 @@ def gather(docs: DataFrame) -> DataFrame:
 class SuffixTree:
     """The retained contexts and their smoothed next-symbol log10 probabilities; state 0 is the empty context."""
 
-    def __init__(self, root: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], byte_counts: np.ndarray, weight: float = 12.0):
-        """``root``: counts of symbols. ``levels``: for each length the contexts, ascending, and their rows of counts."""
+    def __init__(self, root: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], byte_counts: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], weight: float = 12.0):
+        """``root``: counts of symbols. ``levels``: for each length the contexts, ascending, and their rows of counts. ``pairs``: codes of class pairs, counts."""
+        codes, n = pairs
+        used = np.unique(np.r_[0, codes // CLASSES, codes % CLASSES])
+        self.number = np.full(CLASSES, len(used), dtype=np.int64)  # a class that is not known gets one more row and column
+        self.number[used] = np.arange(len(used))
+        counts = np.zeros((len(used) + 1, len(used) + 1))
+        counts[self.number[codes // CLASSES], self.number[codes % CLASSES]] = n
+        of, before = counts.sum(axis=0), counts.sum(axis=1, keepdims=True)
+        share = of / max(of.sum(), 1.0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = np.where(counts > 0, counts * np.log(counts / before / share), 0.0).sum(axis=1)
+            cost = 0.5 * (counts > 0).sum(axis=1) * np.log(np.maximum(before[:, 0], 2))
+            after = np.where((gain > cost)[:, None], (counts + 20.0 * share) / (before + 20.0), share)
+            #: log10 of the probability of a class after another, over the class's tokens
+            self.after = np.where(of > 0, np.log10(after) - np.log10(of), -np.inf).astype(np.float32)
         probs = [((root + 0.5) / (root.sum() + 0.5 * SYMBOLS))[None, :]]
         codes = [np.zeros(1, dtype=np.int64)]
         diverge = [np.ones(1, dtype=bool)]
@@ -150,28 +183,40 @@ class SuffixTree:
             codes.append(contexts)
         for k in range(len(levels), 1, -1):  # suffixes of retained contexts are states too
             diverge[k - 1][np.searchsorted(codes[k - 1], np.unique(codes[k][diverge[k]] % SYMBOLS ** (k - 1)))] = True
-        self.contexts = [c[d].astype(np.int32) for c, d in zip(codes[1:], diverge[1:])]
+        self.contexts = [c[d] for c, d in zip(codes[1:], diverge[1:])]
         self.log10 = np.log10(np.concatenate([p[d] for p, d in zip(probs, diverge)])).astype(np.float32)
         kinds = symbol_table()
         size, in_class = np.bincount(kinds, minlength=SYMBOLS), np.bincount(kinds, weights=byte_counts, minlength=SYMBOLS)
         single = np.isin(kinds, [0, 1, *range(2, 28), 29, 30, 33])
         self.residual = np.where(single, 0.0, np.log10((byte_counts + 1.0) / (in_class + size)[kinds])).astype(np.float32)
 
-    def states(self) -> np.ndarray:
-        """The state of every code of DEPTH symbols: its longest retained suffix."""
-        out = np.zeros(SYMBOLS**DEPTH, dtype=np.uint16 if len(self.log10) < 1 << 16 else np.int32)
-        at = 1
+    def automaton(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The state of every code of DIRECT symbols, and for each longer length the state that one more symbol leads to."""
+        direct = np.zeros(SYMBOLS**DIRECT, dtype=np.int32)
+        steps, at, last, first = [], 1, np.zeros(1, dtype=np.int64), 0
         for k, contexts in enumerate(self.contexts, 1):
-            out.reshape(-1, SYMBOLS**k)[:, contexts] = np.arange(at, at + len(contexts))
-            at += len(contexts)
-        return out
-
-    def score(self, held: list[list[bytes]], states: np.ndarray) -> np.ndarray:
-        """log10 probability of each token of the texts, given as their words."""
-        data, context, s = _coded(held)
-        each = self.log10.ravel()[states[context].astype(np.int64) * SYMBOLS + s] + self.residual[data]
-        ends = np.flatnonzero((s == 0) | (s == 1))
-        return np.add.reduceat(each.astype(np.float64), np.r_[0, ends[:-1] + 1])
+            here = np.arange(at, at + len(contexts))
+            if k <= DIRECT:
+                direct.reshape(-1, SYMBOLS**k)[:, contexts] = here
+            else:  # a context that is not longer leads to itself
+                table = np.repeat(np.arange(len(self.log10), dtype=np.int32), SYMBOLS)
+                table[(first + np.searchsorted(last, contexts % SYMBOLS ** (k - 1))) * SYMBOLS + contexts // SYMBOLS ** (k - 1)] = here
+                steps.append(table)
+            last, first, at = contexts, at, at + len(contexts)
+        return direct, steps
+
+    def score(self, held: list[list[bytes]], automaton: tuple[np.ndarray, list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of each token of the texts, given as their words, by its bytes; and of one training token of its class."""
+        direct, steps = automaton
+        data, s, at = _symbols(held)
+        state = direct[_codes(s, at - 1, DIRECT)]
+        for k, table in enumerate(steps, DIRECT + 1):
+            state = table[state * SYMBOLS + s[at - k]]
+        target = s[at]
+        each = self.log10.ravel()[state * SYMBOLS + target] + self.residual[data[at]]
+        ends, kinds = _classes(target)
+        kinds = self.number[kinds]
+        return np.add.reduceat(each.astype(np.float64), np.r_[0, ends[:-1] + 1]), self.after[np.r_[self.number[0], kinds[:-1]], kinds]
 
 
 def learn_tree(gathered: DataFrame, p_min: float) -> SuffixTree:
@@ -194,7 +239,8 @@ def learn_tree(gathered: DataFrame, p_min: float) -> SuffixTree:
     byte_counts = np.zeros(256)
     for r in gathered.filter("kind = 2").groupBy("key").agg(F.sum("n").alias("n")).collect():
         byte_counts[r["key"]] = r["n"]
-    return SuffixTree(root, levels, byte_counts)
+    pairs = gathered.filter("kind = 4").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # CLASSES squared at most
+    return SuffixTree(root, levels, byte_counts, (pairs["key"].to_numpy(), pairs["n"].to_numpy()))
 
 
 def score_texts(docs: DataFrame, key: str, text: str, held: Column, p_min: float = 2e-5) -> DataFrame:
@@ -219,7 +265,7 @@ def score_texts(docs: DataFrame, key: str, text: str, held: Column, p_min: float
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         model = tree.value
-        states = model.states()
+        automaton = model.automaton()
         keys, c = right["key"].to_numpy().view(np.uint64), right["c"].to_numpy()
         order = np.argsort(keys)
         keys, c = keys[order], c[order]
@@ -234,10 +280,11 @@ def score_texts(docs: DataFrame, key: str, text: str, held: Column, p_min: float
                 ends = np.cumsum(n + 1)  # of texts among tokens: an end follows the words
                 count = np.full(len(h) + len(n), texts, dtype=np.float64)
                 count[np.setdiff1d(np.arange(len(count)), ends - 1, assume_unique=True)] = c[at]
-                tree_log = model.score(words, states) + np.log10(TREE_SHARE)
+                tree_log, each = model.score(words, automaton)
+                tree_log += np.log10(TREE_SHARE)
                 with np.errstate(divide="ignore"):
-                    share_log = np.log10(count / max(n_all, 1) * (1 - TREE_SHARE))
-                mixed = np.maximum(tree_log, share_log) + np.log10(1 + 10.0 ** -np.abs(tree_log - share_log))
+                    known_log = np.log10(count * (1 - TREE_SHARE)) + each
+                mixed = np.maximum(tree_log, known_log) + np.log10(1 + 10.0 ** -np.abs(tree_log - known_log))
                 for k, values in enumerate((np.log10(count + 1), count > 0, mixed)):
                     sums[k].append(np.add.reduceat(values.astype(np.float64), ends - n - 1))
                 sums[3].append(n)
