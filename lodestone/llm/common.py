@@ -72,6 +72,16 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Rows up to which a table of keys may be broadcast; more go through a shuffle join.
+BROADCAST_ROWS = 200_000
+
+
+def light(df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, a narrow side of a join, written once and counted: to be broadcast if it has ``rows`` rows at most."""
+    out = materialise(df, name)
+    return F.broadcast(out) if out.count() <= rows else out
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z; every other character stays."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import free_name, let, materialise, table, words
+from lodestone.llm.common import free_name, let, light, materialise, table, words
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -162,6 +162,7 @@ def judge(docs: DataFrame, labels: DataFrame, key: str, text: str, stratum: str,
     features = found.select(ident, strat, *[c.alias(r) for r, c in shares(F.col(base)).items()])
     limits = cutoffs(features.join(marks, ident), strat, "good", alpha, delta)
     limits = limits.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("limits"))
+    limits = light(limits, "limits", 10_000)  # a row for each stratum
     out = found.join(limits, F.col(strat).eqNullSafe(F.col("stratum")), "left")
     of = shares(F.col(base))
     broken = F.array_compact(F.array(*[F.when(of[r] > F.try_element_at("limits", F.lit(r)), F.lit(r)) for r in RULES]))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import free_name, let, materialise, table
+from lodestone.llm.common import free_name, let, light, materialise, table
 
 #: The contract's kinds, in its order: name, pattern, group whose length counts (0: match), least length.
 BASE_KINDS = (
@@ -100,6 +100,7 @@ def scan_secrets(docs: DataFrame, text: str, owner: str, repository: str, keep:
     # only values of few owners go on, so no key of this join is hot
     spans = found.select(uid, F.explode(values).alias("value")).select(uid, "value", key)
     live = spans.join(few, "key").groupBy(uid).agg(F.collect_set("value").alias("live"))
+    live = light(live, "live", 20_000)  # rows of secrets, each the values of one text
     out = found.join(live, uid, "left")
     is_live = lambda s: F.coalesce(F.array_contains("live", s["value"]), F.lit(False))
     return out.select(*kept, F.col(base).alias("base_spans"), F.filter(more, is_live).alias("more_spans"), F.filter(by_place(F.concat(base, more)), is_live).alias("live_spans"))

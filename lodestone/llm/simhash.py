@@ -21,10 +21,10 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import discard, free_name, materialise, table
+from lodestone.llm.common import discard, free_name, light, materialise, table
 
 #: The vantage points of both halves, 32 bits each.
 VANTAGE = (0x5A3C96E1, 0xC35A6978)
@@ -261,13 +261,16 @@ def near_duplicates(docs: DataFrame, key: str, text: str, size: int = 3, radius:
 
 def deduplicate(docs: DataFrame, key: str, text: str, size: int = 3, radius: int = 3) -> DataFrame:
     """``docs`` with one document of each linked set: the one with the smallest id, once. Rows with a null id stay."""
-    from pyspark.sql import Window
-
-    found = near_duplicates(docs, key, text, size, radius)
-    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias(k := free_name(docs, "keep"))).distinct()
-    n = free_name(docs, "row")
-    named = docs.join(keep, docs[key] == keep[k], "left_semi").withColumn(n, F.row_number().over(Window.partitionBy(key).orderBy(text))).filter(F.col(n) == 1).drop(n)
-    return named.unionByName(docs.filter(F.col(key).isNull()))
+    found = near_duplicates(docs, key, text, size, radius).filter("doc_id is not null")
+    k, n = free_name(docs, "key"), free_name(docs, "row")
+    gone = light(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(k)).distinct(), "gone")
+    out = docs.join(gone, docs[key] == gone[k], "left_anti")
+    # rows of one id that stay: seldom any, so the texts are not shuffled for them
+    again = light(found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias(k)).agg(F.count("*").alias(n)).filter(F.col(n) > 1).select(k), "again")
+    if again.isEmpty():
+        return out
+    several = out.join(again, out[key] == again[k], "left_semi").withColumn(n, F.row_number().over(Window.partitionBy(key).orderBy(text))).filter(F.col(n) == 1).drop(n)
+    return out.join(again, out[key] == again[k], "left_anti").unionByName(several)
 
 
 def op4_simhash(spark, sf_dir):

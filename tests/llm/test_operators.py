@@ -287,3 +287,9 @@ def test_bpe_frames(spark, odd, nothing):
     out = byte_bpe.transcode(some, "text", path, pattern, ["doc_id", "text"])
     assert out.filter(F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).count() == some.count()
     assert byte_bpe.encode(nothing, "text", path, pattern, ["doc_id"]).count() == 0
+
+
+def test_deduplicate_keeps_one_of_each(spark):
+    rows = [(1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (3, "other words here now"), (None, "a b c d"), (None, None), (4, None), (5, "")]
+    out = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
+    assert sorted(((r.doc_id, r.text) for r in out), key=str) == sorted([(1, "a b c d"), (3, "other words here now"), (4, None), (None, "a b c d"), (None, None)], key=str)
