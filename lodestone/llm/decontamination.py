@@ -233,4 +233,17 @@ def op8_decontamination(spark, sf_dir):
     found = find_matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), "text", "item_id", "text", ["doc_id"])
     hits = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     names = F.array_join(F.sort_array(F.transform("items", lambda x: x.cast("string"))), ",")
-    return found.select("doc_id", "n_words", hits.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"), F.coalesce(F.array_max(F.transform("spans", lambda s: s["match_words"])), F.lit(0).cast("long")).alias("longest_match"))
+    return found.select("doc_id", "n_words", hits.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP8_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, len(g) AS n, g FROM (SELECT item_id, w[k : k + 9] AS g FROM i, unnest(range(1, greatest(2, len(w) - 8))) u(k) WHERE len(w) > 0)),
+places AS (SELECT r, k, n, w[k : k + n - 1] AS g FROM d, unnest(range(1, len(w) + 1)) u(k), (SELECT DISTINCT n FROM win) l WHERE k + n - 1 <= len(w)),
+hits AS (SELECT r, k, p.n, item_id FROM places p JOIN win USING (g)),
+covered AS (SELECT r, count(DISTINCT x) AS n_hit FROM hits, unnest(range(k, k + n)) u(x) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (r) LEFT JOIN named USING (r)"""
