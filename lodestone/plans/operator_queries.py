@@ -457,7 +457,7 @@ def ping_pong(spark, sf):
 
 
 # context and tools --------------------------------------------------------------------------------------------------
-@_query("WITH s AS (SELECT p_name AS path, CASE WHEN contains(lower(p_name), 're') THEN 2.0 ELSE 0 END + CASE WHEN contains(lower(p_brand), 're') THEN 1.25 ELSE 0 END + CASE WHEN contains(lower(p_type), 're') THEN 0.75 ELSE 0 END + CASE WHEN contains(lower(p_name), 'brand') THEN 2.0 ELSE 0 END + CASE WHEN contains(lower(p_brand), 'brand') THEN 1.25 ELSE 0 END + CASE WHEN contains(lower(p_type), 'brand') THEN 0.75 ELSE 0 END + CASE WHEN contains(lower(p_name), 'test') THEN 0.25 ELSE 0 END AS score, CAST(greatest(1, (length(p_type) + 3) // 4) AS BIGINT) AS tokens FROM (SELECT p_name || '/' || p_partkey AS p_name, p_brand, p_type FROM part)), b AS (SELECT * FROM s WHERE score > 0 ORDER BY score DESC, path LIMIT 20), r AS (SELECT *, sum(tokens) OVER (ORDER BY score DESC, path) AS run FROM b) SELECT path, score, round(least(1.0, score / 7), 6) AS confidence, tokens FROM r WHERE run <= 30")
+@_query("WITH s AS (SELECT p_name AS path, CASE WHEN contains(lower(p_name), 're') THEN 2.0 ELSE 0 END + CASE WHEN contains(lower(p_brand), 're') THEN 1.25 ELSE 0 END + CASE WHEN contains(lower(p_type), 're') THEN 0.75 ELSE 0 END + CASE WHEN contains(lower(p_name), 'brand') THEN 2.0 ELSE 0 END + CASE WHEN contains(lower(p_brand), 'brand') THEN 1.25 ELSE 0 END + CASE WHEN contains(lower(p_type), 'brand') THEN 0.75 ELSE 0 END + CASE WHEN contains(lower(p_name), 'test') THEN 0.25 ELSE 0 END AS score, CAST(greatest(1, (length(p_type) + 3) // 4) AS BIGINT) AS tokens FROM (SELECT p_name || '/' || p_partkey AS p_name, p_brand, p_type FROM part)), b AS (SELECT * FROM s WHERE score > 0 ORDER BY score DESC, path LIMIT 20), r AS (SELECT *, sum(tokens) OVER (ORDER BY score DESC, path) AS run FROM b) SELECT path, CAST(score AS DOUBLE) AS score, round(least(1.0, CAST(score AS DOUBLE) / 7), 6) AS confidence, tokens FROM r WHERE run <= 30")
 def context_rank(spark, sf):
     c = t(spark, sf, "part").select(F.concat_ws("/", "p_name", "p_partkey").alias("path"), F.col("p_brand").alias("symbol"), F.col("p_type").alias("excerpt"))
     return analysis.rank_context(c, "re brand", budget=30).withColumn("confidence", F.round("confidence", 6))
