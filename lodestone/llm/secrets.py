@@ -126,3 +126,27 @@ def op9_secret_scans(spark, sf_dir):
     out = scan_secrets(docs, "text", "source", "doc_id", ["doc_id"])
     n = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return out.select("doc_id", *[n(k[0]) for k in BASE_KINDS], F.sha2(joined(F.col("base_spans")), 256).alias("base_sha256"), joined(by_place(F.concat("base_spans", "more_spans"))).alias("spans"), F.size("live_spans").cast("long").alias("n_live"))
+
+
+def _sql() -> str:
+    kinds = []
+    for order, (kind, pattern, group, least) in enumerate((*BASE_KINDS, *MORE_KINDS)):
+        rx = "'" + pattern.replace("'", "''") + "'"
+        lengths = "coalesce(list_sum([length(x) for x in {}]), 0)"
+        start = f"{lengths.format('pieces[1 : j]')} + {lengths.format('found[1 : j - 1]')}"
+        kinds.append(
+            f"SELECT r, doc_id, source, '{kind}' AS kind, {order} AS k, {start} AS a, {start} + length(found[j]) AS b, vals[j] AS value FROM "
+            f"(SELECT r, doc_id, source, regexp_extract_all(t, {rx}) AS found, regexp_extract_all(t, {rx}, {group}) AS vals, string_split_regex(t, {rx}) AS pieces FROM d WHERE regexp_matches(t, {rx})), unnest(range(1, len(found) + 1)) u(j) WHERE length(vals[j]) >= {least}"
+        )
+    count = lambda kind: f"CAST(count(*) FILTER (kind = '{kind}') AS BIGINT) AS n_{kind}"
+    listed = lambda where: f"coalesce(string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(b AS BIGINT), ',' ORDER BY a, k) FILTER ({where}), '')"
+    base = f"k < {len(BASE_KINDS)}"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+spans AS ({' UNION ALL '.join(kinds)}),
+few AS (SELECT value, TRUE AS live FROM spans GROUP BY value HAVING count(DISTINCT coalesce(source, chr(1))) <= 2 AND count(DISTINCT coalesce(source, chr(1)) || ' ' || coalesce(CAST(doc_id AS VARCHAR), '')) <= 100)
+SELECT d.doc_id, {', '.join(count(k[0]) for k in BASE_KINDS)}, sha256({listed(base)}) AS base_sha256, {listed(f'{base} OR live')} AS spans, CAST(count(*) FILTER (live) AS BIGINT) AS n_live
+FROM d LEFT JOIN spans USING (r) LEFT JOIN few USING (value) GROUP BY d.r, d.doc_id"""
+
+
+OP9_SQL = _sql()
