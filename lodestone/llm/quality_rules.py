@@ -175,3 +175,32 @@ def op5_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = judge(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "lang", ["doc_id"])
     return out.select("doc_id", "base.*", "base_failed", "kept", F.array_join("broken", ",").alias("broken"))
+
+
+def _sql(alpha: float = 0.02, delta: float = 0.05, least_gain: float = 0.02) -> str:
+    rules = f"""[{{'rule': 'symbol_share', 'x': n_symbols / greatest(word_chars, 1)}}, {{'rule': 'dup_line_share', 'x': least(1.0, 8.0 * n_dup_lines / greatest(n_words, 1))}},
+      {{'rule': 'repeat_share', 'x': n_repeat_words / greatest(n_words, 1)}}, {{'rule': 'long_word_share', 'x': least(1.0, CAST(word_chars AS DOUBLE) / greatest(n_words, 1) / 32.0)}}]"""
+    places = " ".join(f"WHEN '{r}' THEN {k}" for k, r in enumerate(RULES))
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+places AS (SELECT r, k, w[k : k + {WINDOW - 1}] AS g FROM d, unnest(range(1, len(w) - {WINDOW - 2})) u(k) WHERE len(w) >= {WINDOW}),
+twice AS (SELECT r, g FROM places GROUP BY r, g HAVING count(*) > 1),
+covered AS (SELECT r, count(DISTINCT x) AS n FROM places JOIN twice USING (r, g), unnest(range(k, k + {WINDOW})) u(x) GROUP BY r),
+lines AS (SELECT r, [x for x in string_split(t, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] AS l FROM d),
+base AS (SELECT r, doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum([length(x) for x in w]), 0) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+  FROM d JOIN lines USING (r) LEFT JOIN covered USING (r)),
+shares AS (SELECT r, doc_id, lang, s.rule, CAST(s.x AS DOUBLE) AS x FROM (SELECT r, doc_id, lang, unnest({rules}) AS s FROM base)),
+marks AS (SELECT doc_id, min(quality) = 1 AS good FROM labels GROUP BY doc_id HAVING min(quality) = max(quality)),
+cells AS (SELECT lang, rule, CAST(least({len(GRID)}, greatest(0, ceil(x * 50 - 1e-9) - 1)) AS INT) AS cell, good FROM shares JOIN marks USING (doc_id)),
+tests AS (SELECT lang, rule, c, round(c / 50, 2) AS cutoff, count(*) FILTER (good) AS n, count(*) FILTER (NOT good) AS bad, count(*) FILTER (good AND cell >= c) AS k, count(*) FILTER (NOT good AND cell >= c) AS caught
+  FROM cells, unnest(range(1, {len(GRID) + 1})) u(c) GROUP BY lang, rule, c),
+tails AS (SELECT *, CASE WHEN k < n * {alpha} THEN ln((SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({alpha}) + (n - i) * ln(1 - {alpha}))) FROM unnest(range(0, k + 1)) v(i))) ELSE 0 END AS tail FROM tests),
+proven AS (SELECT *, max(CASE WHEN tail > ln({delta}) - ln((SELECT count(DISTINCT coalesce(lang, chr(1))) FROM cells) * {len(RULES)}) THEN cutoff END) OVER (PARTITION BY lang, rule) AS failed, caught / greatest(bad, 1) - k / greatest(n, 1) AS gain FROM tails),
+chosen AS (SELECT lang, rule, cutoff FROM proven WHERE failed IS NULL OR cutoff > failed QUALIFY row_number() OVER (PARTITION BY lang, rule ORDER BY gain DESC, cutoff DESC) = 1 AND gain >= {least_gain}),
+broken AS (SELECT s.r, string_agg(s.rule, ',' ORDER BY CASE s.rule {places} END) AS names FROM shares s JOIN chosen c ON s.rule = c.rule AND s.lang IS NOT DISTINCT FROM c.lang AND s.x > c.cutoff GROUP BY s.r),
+judged AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed, coalesce(names, '') AS broken FROM base LEFT JOIN broken USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND broken = '' AS kept, broken FROM judged"""
+
+
+OP5_SQL = _sql()

@@ -24,6 +24,7 @@ def oracles() -> dict[str, str]:
     return {
         "op2_url_filters": url_filters.OP2_SQL,
         "op3_chat_format": chat.OP3_SQL,
+        "op5_quality_rules": quality_rules.OP5_SQL,
         "op8_decontamination": decontamination.OP8_SQL,
         "op9_secret_scans": secrets.OP9_SQL,
     }
