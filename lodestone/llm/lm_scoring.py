@@ -31,7 +31,7 @@ from lodestone.llm.common import materialise, table
 #: 32 controls, 33 the byte C3, 34-36 other lead bytes by length, 37-52 continuation bytes by their low four bits.
 #: Contexts have up to DEPTH symbols; the last DIRECT of them index a table, the ones before follow from state to state.
 SYMBOLS, DEPTH, DIRECT = 53, 6, 4
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 TREE_SHARE = 0.25
 #: Classes of tokens: the end, and first and last symbol of a word.
 CLASSES = SYMBOLS * SYMBOLS + 1
@@ -116,9 +116,7 @@ def gather(docs: DataFrame) -> DataFrame:
     def run(batches):
         words, grams, pairs, texts, chunk = [], [], [], 0, None
         seen = np.zeros(256, dtype=np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(at, 2000) for b in batches for at in range(0, b.num_rows, 2000)):
             chunk = batch.column(0)[0].as_py()
             trains = ~batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             raw = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
@@ -135,7 +133,7 @@ def gather(docs: DataFrame) -> DataFrame:
                     seen += np.bincount(data[at], minlength=256)
                     kinds = _classes(s[at])[1]
                     pairs.append(np.unique(np.r_[0, kinds[:-1]] * CLASSES + kinds, return_counts=True))
-            if len(words) >= 8:
+            if len(words) >= 16:
                 words, grams, pairs = [merged(words)], [merged(x) for x in [grams] if x], [merged(x) for x in [pairs] if x]
         if chunk is None:
             return
