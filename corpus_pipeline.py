@@ -11,7 +11,7 @@ import functools
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lodestone.llm import byte_bpe, decontamination, quality_rules, secrets, simhash
+from lodestone.llm import byte_bpe, decontamination, quality_rules, secrets, simhash, similar
 from lodestone.llm.common import discard, materialise, noting, table
 
 
@@ -40,8 +40,9 @@ def quality(spark, docs, sf_dir):
 
 @_stage
 def near_dedup(spark, docs, sf_dir):
-    """One document of each SimHash group: the one with the smallest id."""
-    return simhash.deduplicate(docs, "doc_id", "text")
+    """One document of each group linked by a five-word-shingle similarity of 0.8 or more: the one with the smallest id."""
+    found = materialise(similar.near_copies(docs, "doc_id", "text"), "near-copies")
+    return simhash.one_of_each(docs, "doc_id", "text", found)
 
 
 @_stage

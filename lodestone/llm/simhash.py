@@ -261,7 +261,11 @@ def near_duplicates(docs: DataFrame, key: str, text: str, size: int = 3, radius:
 
 def deduplicate(docs: DataFrame, key: str, text: str, size: int = 3, radius: int = 3) -> DataFrame:
     """``docs`` with one document of each linked set: the one with the smallest id, once. Rows with a null id stay."""
-    found = near_duplicates(docs, key, text, size, radius).filter("doc_id is not null")
+    return one_of_each(docs, key, text, near_duplicates(docs, key, text, size, radius).filter("doc_id is not null"))
+
+
+def one_of_each(docs: DataFrame, key: str, text: str, found: DataFrame) -> DataFrame:
+    """``docs`` with one document of each component of ``found`` (doc_id, component_id), the one it is named by; null ids stay."""
     k, n = free_name(docs, "key"), free_name(docs, "row")
     gone = light(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(k)).distinct(), "gone")
     out = docs.join(gone, docs[key] == gone[k], "left_anti")

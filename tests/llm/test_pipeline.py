@@ -1,5 +1,7 @@
 """The pipeline, stage by stage, against the operators' contracts."""
 
+import random
+
 import pandas as pd
 
 import corpus_pipeline
@@ -40,3 +42,32 @@ def test_empty(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = materialise(stage(spark, docs, SF), name)
     assert docs.count() == 0
+
+
+def test_near_dedup_is_exact(spark):
+    """Five-word shingles with a similarity of 0.8: all such pairs, in large groups too, and no others."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    rows = []
+    for g in range(3):
+        text = [word() for _ in range(60 + 200 * g)]
+        for _ in range(60):  # edits of one text, most of them similar to some but not to all others
+            copy = list(text)
+            for _ in range(rng.randrange(4 * (g + 1))):
+                copy[rng.randrange(len(copy))] = word()
+            rows.append(" ".join(copy))
+    line = " ".join(word() for _ in range(12))
+    rows += [f"{word()} {line} {word()}" for _ in range(40)] + ["x y", "X  y", "x z", "", None]
+    rng.shuffle(rows)
+    sets = []
+    for t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    least = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((least[a], least[b]))
+                least = [x if v == y else v for v in least]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()} == set(least)
