@@ -53,9 +53,9 @@ def decontamination_stage(spark, docs, sf_dir):
 
 @_stage
 def secret_scan(spark, docs, sf_dir):
-    """All documents, with live-looking secrets cut out of the text and its length brought up to date."""
+    """All documents, with all secrets but proven examples cut out of the text and its length brought up to date."""
     whole = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "source")
-    found = secrets.scan_secrets(whole, "text", "source", "doc_id", ["row"])
+    found = secrets.scan_secrets(whole, "text", "source", "doc_id", ["row"], example_share=0.5)
     clean = F.when(F.size("live_spans") > 0, secrets.redact(F.col("row.text"), F.col("live_spans"))).otherwise(F.col("row.text"))
     length = F.when(F.size("live_spans") > 0, F.length(clean).cast("long")).otherwise(F.col("row.n_chars"))
     new = {"text": clean, "n_chars": length}

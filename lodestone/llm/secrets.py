@@ -12,6 +12,8 @@ sum of piece and match lengths gives every start and end.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,7 +75,7 @@ def by_place(spans: Column) -> Column:
     return F.transform(F.sort_array(keyed), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value")))
 
 
-def scan_secrets(docs: DataFrame, text: str, owner: str, repository: str, keep: list[str], live_owners: int = 2, live_repositories: int = 100) -> DataFrame:
+def scan_secrets(docs: DataFrame, text: str, owner: str, repository: str, keep: list[str], live_owners: int = 2, live_repositories: int = 100, example_share: float | None = None) -> DataFrame:
     """The columns ``keep``, with ``base_spans``, ``more_spans`` and ``live_spans``.
 
     base_spans: the contract's spans; more_spans: the added kinds' spans whose
@@ -81,17 +83,24 @@ def scan_secrets(docs: DataFrame, text: str, owner: str, repository: str, keep:
     repositories hold at most; live_spans: those of either that so few hold. A null text is empty; null owners or repositories
     count as one more owner or repository; repeated rows count once an owner
     and repository. Columns of ``docs`` with the new names are replaced.
+
+    With ``example_share`` a value is live unless it is proven an example:
+    distinct texts (copies of one count once, for the least of its owners) of
+    more than ``live_owners`` owners and of that share of all owners hold it.
+    How many texts of few owners hold it doesn't matter then.
     """
     kept = [c for c in keep if c not in ("base_spans", "more_spans", "live_spans")]
-    uid, own, repo, t, base, more = (free_name(docs, x) for x in ("uid", "own", "repo", "text", "base", "more"))
+    uid, own, repo, t, base, more, body = (free_name(docs, x) for x in ("uid", "own", "repo", "text", "base", "more", "body"))
     whole = F.coalesce(F.col(text), F.lit(""))
     found = docs.withColumn(t, whole).select(
-        *kept, F.col(owner).cast("string").alias(own), F.col(repository).cast("string").alias(repo), F.monotonically_increasing_id().alias(uid),
+        *kept, F.col(owner).cast("string").alias(own), F.col(repository).cast("string").alias(repo), F.monotonically_increasing_id().alias(uid), *([] if example_share is None else [F.sha2(t, 256).alias(body)]),
         by_place(F.concat(*[_spans(F.col(t), *k) for k in BASE_KINDS])).alias(base), by_place(F.concat(*[_spans(F.col(t), *k) for k in MORE_KINDS])).alias(more),
     )
     found = materialise(found, "secrets")  # the row number is fixed from here on
     key = F.sha2("value", 256).alias("key")
     values = F.array_distinct(F.transform(F.concat(base, more), lambda s: s["value"]))
+    if example_share is not None:
+        return _unless_examples(found, kept, (uid, own, body, base, more), values, live_owners, example_share)
     # distinct (value, owner) pairs first: a value in a third of all documents is summed up where it is read
     held = found.select(own, repo, F.explode(values).alias("value")).select(own, repo, key)
     by_repo = held.groupBy("key", own, repo).agg(F.lit(1).alias("one"))
@@ -106,6 +115,22 @@ def scan_secrets(docs: DataFrame, text: str, owner: str, repository: str, keep:
     return out.select(*kept, F.col(base).alias("base_spans"), F.filter(more, is_live).alias("more_spans"), F.filter(by_place(F.concat(base, more)), is_live).alias("live_spans"))
 
 
+def _unless_examples(found: DataFrame, kept: list[str], names: tuple[str, ...], values: Column, live_owners: int, share: float) -> DataFrame:
+    """:func:`scan_secrets`'s result where all values are live that are no proven examples."""
+    uid, own, body, base, more = names
+    key = F.sha2("value", 256).alias("key")
+    owners = found.agg(F.count_distinct(own) + F.max(F.col(own).isNull().cast("int"))).first()[0] or 0
+    least = max(live_owners + 1, math.ceil(share * owners))
+    # copies of a text hold the same values, so a text's owner may be told value by value
+    by_text = found.select(own, body, F.explode(values).alias("value")).groupBy(key, body).agg(F.min(F.coalesce(own, F.lit(""))).alias(own))
+    by_owner = by_text.groupBy("key", own).agg(F.lit(1).alias("one"))
+    examples = light(by_owner.groupBy("key").agg(F.count("*").alias("owners")).filter(F.col("owners") >= least).select("key"), "examples")
+    copied = found.select(uid, F.explode(values).alias("value")).select(uid, "value", key).join(examples, "key").groupBy(uid).agg(F.collect_set("value").alias("copied"))
+    out = found.join(light(copied, "copied", 20_000), uid, "left")
+    is_live = lambda s: ~F.coalesce(F.array_contains("copied", s["value"]), F.lit(False))
+    return out.select(*kept, F.col(base).alias("base_spans"), F.filter(more, is_live).alias("more_spans"), F.filter(by_place(F.concat(base, more)), is_live).alias("live_spans"))
+
+
 def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 

@@ -71,3 +71,17 @@ def test_near_dedup_is_exact(spark):
                 least = [x if v == y else v for v in least]
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()} == set(least)
+
+
+def test_secrets_in_copies(spark):
+    """A credential in equal texts of three sources, or in many texts of one, is cut out; one that half of all sources write about stays."""
+    copied, hot, example = "ghp_" + "A1" * 18, "AKIA" + "B2C3" * 4, "f" * 40
+    rows = [(i, f"key {copied} end", f"src{i}") for i in range(3)]
+    rows += [(100 + i, f"key {hot} of {i}", "src0") for i in range(120)]
+    rows += [(300 + i, f"text {i} names {example} too", f"src{i}") for i in range(6)]
+    rows += [(400 + i, "nothing", f"src{i}") for i in range(10)] + [(500, None, None)]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, source string, n_chars long")
+    out = {r.doc_id: r.text for r in corpus_pipeline.secret_scan(spark, docs, SF).collect()}
+    assert all(out[i] == "key [SECRET] end" for i in range(3))
+    assert all(out[100 + i] == f"key [SECRET] of {i}" for i in range(120))
+    assert all(out[300 + i] == f"text {i} names {example} too" for i in range(6))
