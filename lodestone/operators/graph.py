@@ -12,7 +12,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.durable import cut
@@ -21,6 +21,11 @@ from lodestone.functions.scalars import estimated_tokens
 OUT, IN, BOTH = "out", "in", "both"
 
 
+def met_path(forth: Column, back: Column) -> Column:
+    """The whole path of two halves that end in the same node; ``back`` begins at the path's end."""
+    return F.concat(forth, F.slice(F.reverse(back), F.lit(2), F.size(back)))
+
+
 @dataclass(frozen=True)
 class Policy:
     """How a traversal goes: limits are off where None."""
@@ -132,7 +137,7 @@ class Graph:
         front = dict(seen)
         empty = spark.createDataFrame([], f"step int, key {kind}")
         for k in range(policy.max_depth + 1):
-            met = seen[True].alias("x").join(seen[False].alias("y"), "key").select(F.concat(F.col("x.path"), F.slice(F.reverse("y.path"), 2, 1000)).alias("path"))
+            met = seen[True].alias("x").join(seen[False].alias("y"), "key").select(met_path(F.col("x.path"), F.col("y.path")).alias("path"))
             best = met.agg(F.min(F.struct(F.size("path"), "path")).alias("best")).first()["best"]
             if best is not None:
                 return spark.createDataFrame([(i, v) for i, v in enumerate(best["path"])], f"step int, key {kind}")

@@ -11,7 +11,7 @@ from lodestone.functions import scalars
 from lodestone.functions.dialect import rewrite
 from lodestone.operators import analysis, cypher, diff, trust, vector
 from lodestone.operators.engine import AccessDenied, Agent, Engine, Extensions, Scopes
-from lodestone.operators.graph import Graph, GraphWriter, Policy
+from lodestone.operators.graph import Graph, GraphWriter, Policy, met_path
 from lodestone.sources import readers, sinks
 from lodestone.streaming import changes
 
@@ -144,6 +144,11 @@ def test_traverse(diamond):
     assert rows(diamond.traverse(6, Policy(max_depth=1)).select("key")) == [(6,)]  # 99 has no node
 
 
+def test_long_path_is_whole(spark):
+    forth, back = list(range(1500)), list(range(2999, 1498, -1))
+    assert rows(spark.createDataFrame([(forth, back), ([7], [7])], "x array<long>, y array<long>").select(met_path(F.col("x"), F.col("y")))) == [(list(range(3000)),), ([7],)]
+
+
 def test_shortest_path_and_patterns(diamond):
     assert rows(diamond.shortest_path(1, 6)) == [(0, 1), (1, 2), (2, 4), (3, 5), (4, 6)]
     assert rows(diamond.shortest_path(6, 1)) == []
