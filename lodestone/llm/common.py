@@ -6,6 +6,7 @@ import contextlib
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +83,37 @@ def light(df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(out) if out.count() <= rows else out
 
 
+#: Bytes of an Arrow batch that goes to a Python worker. A longer text makes a larger batch of its own.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes, unless its owner has set a bound: rows alone say little where texts are long."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def tidied(run):
+    """``run`` for mapInArrow, giving the worker's freed memory back to the system when a partition ends: workers live on idle."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # another C library
+                pass
+
+    return whole
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z; every other character stays."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
