@@ -5,6 +5,12 @@ is encoded once. A piece is rows (word, position, token), one for each byte at
 first. A recursive query joins neighbours to the merge table and contracts each
 word's lowest-ranked pair, leftmost first, until no word has a pair. Decoding
 joins ids to the vocabulary and aggregates the bytes in order.
+
+A long piece is cut into segments that overlap by half. Contraction looks at
+neighbours only, so a sequence of tokens is the contraction of its bytes if and
+only if each two neighbours in it are that of theirs: a token that both of two
+overlapping segments have, at the same place, joins them exactly. Neighbours
+without such a token are contracted again as one.
 """
 
 import base64
@@ -16,57 +22,37 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import free_name, table
+from lodestone.llm.common import bound_batches, free_name, table, tidied
 
-#: Bytes of distinct pieces that one recursive query contracts.
-WORDS_BYTES = 1 << 20
-#: Contractions in one recursive query; unfinished words go on in another, so that its rows stay few.
-ROUNDS = 24
-#: Distinct pieces whose ids a task keeps.
-CACHE_WORDS = 400_000
-#: Tokens that one decoding query handles; a longer text makes a larger query of its own.
+#: Bytes of distinct pieces that one recursive query contracts; a segment that is longer has a query of its own.
+QUERY_BYTES = 1 << 18
+#: Rows that the rounds of one recursive query add up to at most, and its most rounds; unfinished words go on in another.
+QUERY_ROWS, ROUNDS = 6 << 20, 24
+#: Distinct pieces whose ids a task keeps, and their bytes.
+CACHE_WORDS, CACHE_BYTES = 400_000, 32 << 20
+#: Tokens that one decoding query handles; a longer text makes several queries.
 DECODE_TOKENS = 500_000
-
-#: Words of up to so many bytes contract one pair a round; longer ones all disjoint pairs of the lowest rank at once.
-SHORT = 64
-
-# A row knows its right neighbour, so a round needs no sort: the word's lowest rank, leftmost, comes from an aggregate,
-# the row after the contracted pair from a join.
-_SHORT = f"""
+#: Longer pieces are cut into segments of twice this length, one beginning every so many bytes.
+STEP = 64
+#: Characters of texts split at a time.
+TEXT_BYTES = 2 << 20
+
+# One pair of each word a round. A row knows its right neighbour, so a round needs no sort: the word's lowest rank,
+# leftmost, comes from an aggregate, the row after the contracted pair from a join.
+_CONTRACT = """
 WITH RECURSIVE step AS (
   SELECT w, pos, tok, npos, ntok, 0 AS round, FALSE AS done FROM state
   UNION ALL (
     WITH pairs AS MATERIALIZED (
-      SELECT s.w, s.pos, s.tok, s.npos, s.ntok, s.round, m.id FROM step s LEFT JOIN merges m ON m.l = s.tok AND m.r = s.ntok WHERE NOT s.done AND s.round < {ROUNDS}),
-    lowest AS MATERIALIZED (SELECT w, min(id::BIGINT * 65536 + pos) AS best, arg_min(npos, id::BIGINT * 65536 + pos) AS gone FROM pairs GROUP BY w),
+      SELECT s.w, s.pos, s.tok, s.npos, s.ntok, s.round, m.id FROM step s LEFT JOIN merges m ON m.l = s.tok AND m.r = s.ntok WHERE NOT s.done AND s.round < $rounds),
+    lowest AS MATERIALIZED (SELECT w, min(id::BIGINT * 4294967296 + pos) AS best, arg_min(npos, id::BIGINT * 4294967296 + pos) AS gone FROM pairs GROUP BY w),
     contracted AS MATERIALIZED (
-      SELECT b.w, (b.best // 65536)::INTEGER AS merged, (b.best % 65536)::INTEGER AS at, b.gone, c.npos, c.ntok FROM lowest b LEFT JOIN pairs c ON c.w = b.w AND c.pos = b.gone)
+      SELECT b.w, (b.best // 4294967296)::INTEGER AS merged, (b.best % 4294967296)::INTEGER AS at, b.gone, c.npos, c.ntok FROM lowest b LEFT JOIN pairs c ON c.w = b.w AND c.pos = b.gone)
     SELECT c.w, c.pos, CASE WHEN c.pos = a.at THEN a.merged ELSE c.tok END, CASE WHEN c.pos = a.at THEN a.npos ELSE c.npos END,
       CASE WHEN c.pos = a.at THEN a.ntok WHEN c.npos = a.at THEN a.merged ELSE c.ntok END, c.round + 1, a.at IS NULL
     FROM pairs c JOIN contracted a ON a.w = c.w WHERE c.pos IS DISTINCT FROM a.gone)
 )
-SELECT w, pos, tok, npos, ntok, done FROM step WHERE done OR round = {ROUNDS}"""
-
-_LONG = f"""
-WITH RECURSIVE step AS (
-  SELECT w, pos, tok, 0 AS round, FALSE AS done FROM state
-  UNION ALL
-  SELECT w, pos, CASE WHEN start THEN merged ELSE tok END, round + 1, done FROM (
-    SELECT *, coalesce(lag(start) OVER (PARTITION BY w ORDER BY pos), FALSE) AS gone FROM (
-      SELECT *, best IS NULL AS done,
-        -- leftmost first: of a run of overlapping pairs every other one contracts, or the first alone where the merge table asks for it
-        coalesce(pair AND CASE WHEN alone THEN pos = min(CASE WHEN pair THEN pos END) OVER (PARTITION BY w)
-          ELSE (n - run_start) % 2 = 0 END, FALSE) AS start
-      FROM (
-        SELECT *, max(CASE WHEN pair AND NOT coalesce(before, FALSE) THEN n END) OVER (PARTITION BY w ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run_start FROM (
-          SELECT *, lag(pair) OVER (PARTITION BY w ORDER BY pos) AS before FROM (
-            SELECT *, coalesce(merged = best, FALSE) AS pair FROM (
-              SELECT t.*, m.id AS merged, m.alone, row_number() OVER (PARTITION BY t.w ORDER BY t.pos) AS n, min(m.id) OVER (PARTITION BY t.w) AS best
-              FROM (SELECT w, pos, tok, round, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS next FROM step WHERE NOT done AND round < {ROUNDS}) t
-              LEFT JOIN merges m ON m.l = t.tok AND m.r = t.next))))))
-  WHERE NOT gone
-)
-SELECT w, pos, tok, done FROM step WHERE done OR round = {ROUNDS}"""
+SELECT w, pos, tok, npos, ntok, done FROM step WHERE done OR round = $rounds"""
 
 _DECODE = """
 SELECT hex_of.d AS d, unhex(string_agg(hex_of.bytes, '' ORDER BY hex_of.pos)) AS bytes
@@ -79,6 +65,11 @@ def read_ranks(path: str) -> bytes:
         return f.read()
 
 
+def _cut(start: int, end: int, step: int) -> list[list]:
+    """Segments without ids, each half over the next."""
+    return [[a, min(a + 2 * step, end), None] for a in range(start, max(end - step, start + 1), step)]
+
+
 class Codec:
     """Encodes and decodes with one DuckDB connection. ``ranks_file``: lines of a base64 token and its rank, which is its id."""
 
@@ -97,21 +88,22 @@ class Codec:
                     left.append(a)
                     right.append(b)
                     merged.append(rank)
-        # Contracting a pair makes new pairs with its neighbours. Where one of those may rank lower, it has to come before
-        # the word's next pair of the same rank, so such pairs contract one at a time.
-        alone = {x for a, b, m in zip(left, right, merged) for x in (a, b) if m < x}
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        # queries are bounded, so nothing is spilled: an executor's own folder is no place for it
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "1GB", "temp_directory": ""})
         self.con.execute("SET preserve_insertion_order = false")
-        merges = pa.table({"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "id": pa.array(merged, pa.int32()), "alone": pa.array([m in alone for m in merged])})
+        merges = pa.table({"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "id": pa.array(merged, pa.int32())})
         vocab = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "bytes": pa.array([k.hex() for k in ranks])})
         for name, rows in (("merges", merges), ("vocab", vocab)):
             self.con.register("given", rows)
             self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.con.unregister("given")
         self.ranks = ranks
+        self.size = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+        self.size[list(ranks.values())] = [len(x) for x in ranks]
         self.known: dict[str, bytes] = {}
+        self.known_bytes = 0
 
-    def contract(self, words: list[bytes]) -> list[np.ndarray]:
+    def fixpoint(self, words: list[bytes]) -> list[np.ndarray]:
         """The ids of each word, by recursive queries until every word is at its fixpoint."""
         raw = np.frombuffer(b"".join(words), dtype=np.uint8)
         sizes = np.array([len(x) for x in words])
@@ -119,26 +111,81 @@ class Codec:
         w = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
         pos, tok = (np.arange(len(raw)) - starts[w]).astype(np.int32), self.byte[raw]
         more = pos + 1 < sizes[w]  # the last byte of a word has no neighbour: -1
-        state = {"w": w, "pos": pos, "tok": tok, "npos": np.where(more, pos + 1, -1).astype(np.int32), "ntok": np.where(more, np.r_[tok[1:], 0], -1).astype(np.int32)}
-        short = sizes[w] <= SHORT
+        left = pa.table({"w": w, "pos": pos, "tok": tok, "npos": np.where(more, pos + 1, -1).astype(np.int32), "ntok": np.where(more, np.r_[tok[1:], 0], -1).astype(np.int32)})
         done = []
-        for query, rows, columns in ((_SHORT, short, list(state)), (_LONG, ~short, list(state)[:3])):
-            left = pa.table({c: state[c][rows] for c in columns})
-            while left.num_rows:
-                self.con.register("state", left)
-                out = self.con.sql(query).to_arrow_table()
-                self.con.unregister("state")
-                flags = out["done"].to_numpy()
-                done.append([out[c].to_numpy()[flags] for c in ("w", "pos", "tok")])
-                left = out.filter(pc.invert(out["done"])).select(columns)
+        while left.num_rows:
+            rounds = max(1, min(ROUNDS, QUERY_ROWS // left.num_rows))
+            self.con.register("state", left)
+            out = self.con.sql(_CONTRACT.replace("$rounds", str(rounds))).to_arrow_table()
+            self.con.unregister("state")
+            flags = out["done"].to_numpy()
+            done.append([out[c].to_numpy()[flags] for c in ("w", "pos", "tok")])
+            left = out.filter(pc.invert(out["done"])).drop_columns("done")
         w, pos, tok = (np.concatenate(x) for x in zip(*done))
         order = np.lexsort((pos, w))
         return np.split(tok[order].astype("<u4"), np.searchsorted(w[order], np.arange(1, len(words))))
 
+    def contract(self, words: list[bytes]) -> list[np.ndarray]:
+        """The ids of each word: short ones at once, long ones by segments."""
+        segments = [[[0, len(x), None]] if len(x) <= 2 * STEP else _cut(0, len(x), STEP) for x in words]
+        while True:
+            todo = [(s, words[k][s[0] : s[1]]) for k, own in enumerate(segments) for s in own if s[2] is None]
+            if not todo:
+                break
+            held, size = [], 0
+            for n, (s, part) in enumerate(todo):
+                held.append((s, part))
+                size += len(part)
+                if size >= QUERY_BYTES or n == len(todo) - 1:
+                    for (s, _), ids in zip(held, self.fixpoint([x for _, x in held])):
+                        s[2] = ids
+                    held, size = [], 0
+            segments = [own if len(own) == 1 else self.joined(own) for own in segments]
+        return [own[0][2] for own in segments]
+
+    def joined(self, own: list[list]) -> list[list]:
+        """A word's overlapping segments (start, end, ids) as one; or where two have no token in common, new ones, yet without ids."""
+        ends = [s[0] + np.cumsum(self.size[s[2]]) for s in own]
+        tokens = [e * 4096 + self.size[s[2]] for e, s in zip(ends, own)]  # a token's place and length as one number
+        cuts: list[int | None] = []
+        for one, two in zip(tokens, tokens[1:]):
+            both = np.intersect1d(one, two, assume_unique=True) // 4096
+            both = both[both >= (cuts[-1] or 0)] if cuts else both
+            cuts.append(int(both[0]) if len(both) else None)
+        if None not in cuts:
+            at, parts = [own[0][0], *cuts, own[-1][1]], []
+            for k, s in enumerate(own):
+                parts.append(s[2][(ends[k] > at[k]) & (ends[k] <= at[k + 1])])
+            return [[own[0][0], own[-1][1], np.concatenate(parts)]]
+        out, k = [], 0
+        while k < len(own):
+            last = k
+            while last < len(cuts) and cuts[last] is None:
+                last += 1
+            if last == k:
+                out.append(own[k])
+            else:
+                out += _cut(own[k][0], own[last][1], self.step(own[k]))
+            k = last + 1
+        return out
+
+    def step(self, segment: list) -> int:
+        """How far apart to begin segments in place of this one: a multiple of the period its tokens have, or else twice as far."""
+        start, end, ids = segment
+        middle = ids[len(ids) // 2 : -2]
+        far = max(STEP, (end - start) // 2)
+        for m in range(1, len(middle) // 2 + 1):
+            if np.array_equal(middle[m:], middle[:-m]):
+                period = int(self.size[middle[:m]].sum())
+                if far % period:
+                    return -(-far // period) * period
+                break
+        return 2 * far
+
     def learn(self, pieces: set[str]) -> None:
         """Put the ids of ``pieces`` among the known ones."""
-        if len(self.known) + len(pieces) > CACHE_WORDS:
-            self.known = {}
+        if len(self.known) + len(pieces) > CACHE_WORDS or self.known_bytes > CACHE_BYTES:
+            self.known, self.known_bytes = {}, 0
         new = []
         for x in pieces:
             if x not in self.known:
@@ -147,14 +194,9 @@ class Codec:
                     new.append(x)
                 else:
                     self.known[x] = rank.to_bytes(4, "little")
-        held, size = [], 0
-        for k, x in enumerate(new):
-            held.append(x)
-            size += len(x)
-            if size >= WORDS_BYTES or k == len(new) - 1:
-                for word, ids in zip(held, self.contract([y.encode() for y in held])):
-                    self.known[word] = ids.tobytes()
-                held, size = [], 0
+        self.known_bytes += sum(map(len, new))
+        for word, ids in zip(new, self.contract([x.encode() for x in new])):
+            self.known[word] = ids.tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -162,7 +204,7 @@ class Codec:
         for k, t in enumerate(texts):
             held.append(self.split(t))
             size += len(t)
-            if size >= 2 * WORDS_BYTES or k == len(texts) - 1:
+            if size >= TEXT_BYTES or k == len(texts) - 1:
                 self.learn({x for pieces in held for x in pieces})
                 get = self.known.__getitem__
                 out += [b"".join(map(get, pieces)) for pieces in held]
@@ -171,24 +213,17 @@ class Codec:
 
     def decode(self, encoded: list[bytes]) -> list[bytes]:
         """The bytes of each id sequence, aggregated in order."""
-        out: list[bytes] = []
-        at = 0
-        while at < len(encoded):
-            end, n = at, 0
-            while end < len(encoded) and (end == at or n + len(encoded[end]) // 4 <= DECODE_TOKENS):
-                n += len(encoded[end]) // 4
-                end += 1
-            ids = np.frombuffer(b"".join(encoded[at:end]), dtype="<u4")
-            sizes = np.array([len(x) // 4 for x in encoded[at:end]])
-            self.con.register("ids", pa.table({"d": np.repeat(np.arange(end - at, dtype=np.int32), sizes), "pos": np.arange(len(ids), dtype=np.int32), "id": ids.astype(np.int32)}))
+        ids = np.frombuffer(b"".join(encoded), dtype="<u4").astype(np.int32)
+        of = np.repeat(np.arange(len(encoded), dtype=np.int32), [len(x) // 4 for x in encoded])
+        parts: list[list[bytes]] = [[] for _ in encoded]
+        for at in range(0, len(ids), DECODE_TOKENS):
+            some = slice(at, at + DECODE_TOKENS)
+            self.con.register("ids", pa.table({"d": of[some], "pos": np.arange(len(ids[some]), dtype=np.int32), "id": ids[some]}))
             found = self.con.sql(_DECODE).to_arrow_table()
             self.con.unregister("ids")
-            part = [b""] * (end - at)
             for d, x in zip(found["d"].to_pylist(), found["bytes"].to_pylist()):
-                part[d] = x
-            out += part
-            at = end
-        return out
+                parts[d].append(x)
+        return [b"".join(x) for x in parts]
 
 
 def _ids(codec: Codec, texts: list) -> list[bytes]:
@@ -221,6 +256,7 @@ def _mapped(docs: DataFrame, column: str, keep: list[str], works: dict, ranks_pa
     """``keep`` with a binary column for each of ``works``, which get the column before them."""
     kept = [c for c in keep if c.lower() not in works]
     ranks = read_ranks(ranks_path)
+    bound_batches(docs.sparkSession)
 
     def run(batches):
         codec = None
@@ -235,7 +271,7 @@ def _mapped(docs: DataFrame, column: str, keep: list[str], works: dict, ranks_pa
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(x, pa.binary()) for x in made[1:])], [*kept, *works])
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), *(f"{c} binary" for c in works)])
-    return docs.select(*kept, F.col(column).alias(free_name(docs, "in"))).mapInArrow(run, schema)
+    return docs.select(*kept, F.col(column).alias(free_name(docs, "in"))).mapInArrow(tidied(run), schema)
 
 
 def op10_byte_bpe(spark, sf_dir):
