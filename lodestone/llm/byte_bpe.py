@@ -9,8 +9,8 @@ joins ids to the vocabulary and aggregates the bytes in order.
 A long piece is cut into segments that overlap by half. Contraction looks at
 neighbours only, so a sequence of tokens is the contraction of its bytes if and
 only if each two neighbours in it are that of theirs: a token that both of two
-overlapping segments have, at the same place, joins them exactly. Neighbours
-without such a token are contracted again as one.
+overlapping segments have, at the same place, joins them exactly. Where two
+have no such token, new segments begin at a token of the first one.
 """
 
 import base64
@@ -128,6 +128,7 @@ class Codec:
     def contract(self, words: list[bytes]) -> list[np.ndarray]:
         """The ids of each word: short ones at once, long ones by segments."""
         segments = [[[0, len(x), None]] if len(x) <= 2 * STEP else _cut(0, len(x), STEP) for x in words]
+        turn = 0
         while True:
             todo = [(s, words[k][s[0] : s[1]]) for k, own in enumerate(segments) for s in own if s[2] is None]
             if not todo:
@@ -140,11 +141,12 @@ class Codec:
                     for (s, _), ids in zip(held, self.fixpoint([x for _, x in held])):
                         s[2] = ids
                     held, size = [], 0
-            segments = [own if len(own) == 1 else self.joined(own) for own in segments]
+            segments = [own if len(own) == 1 else self.joined(own, turn) for own in segments]
+            turn += 1
         return [own[0][2] for own in segments]
 
-    def joined(self, own: list[list]) -> list[list]:
-        """A word's overlapping segments (start, end, ids) as one; or where two have no token in common, new ones, yet without ids."""
+    def joined(self, own: list[list], turn: int) -> list[list]:
+        """A word's overlapping segments (start, end, ids) joined; where two have no token in common, with new ones, yet without ids."""
         ends = [s[0] + np.cumsum(self.size[s[2]]) for s in own]
         tokens = [e * 4096 + self.size[s[2]] for e, s in zip(ends, own)]  # a token's place and length as one number
         cuts: list[int | None] = []
@@ -152,35 +154,38 @@ class Codec:
             both = np.intersect1d(one, two, assume_unique=True) // 4096
             both = both[both >= (cuts[-1] or 0)] if cuts else both
             cuts.append(int(both[0]) if len(both) else None)
-        if None not in cuts:
-            at, parts = [own[0][0], *cuts, own[-1][1]], []
-            for k, s in enumerate(own):
-                parts.append(s[2][(ends[k] > at[k]) & (ends[k] <= at[k + 1])])
-            return [[own[0][0], own[-1][1], np.concatenate(parts)]]
-        out, k = [], 0
-        while k < len(own):
-            last = k
-            while last < len(cuts) and cuts[last] is None:
+        blocks, parts, first = [], [], 0
+        for k, s in enumerate(own):
+            low = cuts[k - 1] if k > first else s[0]
+            apart = k == len(cuts) or cuts[k] is None
+            high = s[1] if apart else cuts[k]
+            parts.append(s[2][(ends[k] > low) & (ends[k] <= high)])
+            if apart:
+                blocks.append(([own[first][0], s[1], np.concatenate(parts)], k == first))
+                parts, first = [], k + 1
+        # A block's tail goes on through the next one, or through all that follow and are but a segment each: text that
+        # repeats itself takes its alignment from where it began.
+        out, k = [blocks[0][0]], 0
+        while k + 1 < len(blocks):
+            last = k + 1
+            while last + 1 < len(blocks) and blocks[last][1]:
                 last += 1
-            if last == k:
-                out.append(own[k])
-            else:
-                out += _cut(own[k][0], own[last][1], self.step(own[k]))
+            start, end, ids = blocks[k][0]
+            places = start + np.cumsum(self.size[ids]) - self.size[ids]
+            again = int(places[min(np.searchsorted(places, end - (STEP << turn)), len(places) - 1)])
+            out += _cut(again, blocks[last][0][1], self.step(ids[np.searchsorted(places, again) :], STEP << max(0, turn - 3)))
+            out += [x for x, _ in blocks[last + 1 : last + 2]]
             k = last + 1
         return out
 
-    def step(self, segment: list) -> int:
-        """How far apart to begin segments in place of this one: a multiple of the period its tokens have, or else twice as far."""
-        start, end, ids = segment
-        middle = ids[len(ids) // 2 : -2]
-        far = max(STEP, (end - start) // 2)
+    def step(self, ids: np.ndarray, far: int) -> int:
+        """How far apart to begin segments after a block that ends with ``ids``: a multiple of their period, if they have one."""
+        middle = ids[:-2]
         for m in range(1, len(middle) // 2 + 1):
             if np.array_equal(middle[m:], middle[:-m]):
                 period = int(self.size[middle[:m]].sum())
-                if far % period:
-                    return -(-far // period) * period
-                break
-        return 2 * far
+                return -(-far // period) * period
+        return far
 
     def learn(self, pieces: set[str]) -> None:
         """Put the ids of ``pieces`` among the known ones."""
