@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import free_name, materialise, table
+from lodestone.llm.common import bound_batches, free_name, materialise, table, tidied
 
 BUCKETS, DIMS, NONZERO = 1 << 13, 32, 4
 #: Labelled rows that the network learns from at most: those with the smallest hashes.
@@ -100,7 +100,7 @@ def word_vectors(docs: DataFrame, text: str) -> np.ndarray:
         rows = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(list(np.c_[total.reshape(BUCKETS, DIMS), seen][rows]), pa.list_(pa.float64()))], ["bucket", "v"])
 
-    parts = docs.select(text).mapInArrow(run, "bucket long, v array<double>")
+    parts = docs.select(text).mapInArrow(tidied(run), "bucket long, v array<double>")
     sums = parts.groupBy("bucket").agg(*[F.sum(F.get("v", F.lit(k))).alias(f"v{k}") for k in range(DIMS + 1)]).toArrow()  # BUCKETS rows at most
     full = np.zeros((BUCKETS, DIMS + 1))
     full[sums["bucket"].to_numpy()] = np.stack([sums[f"v{k}"].to_numpy() for k in range(DIMS + 1)], axis=1) if sums.num_rows else 0
@@ -127,14 +127,15 @@ def pool(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
             doc = np.repeat(np.arange(len(some)), n)
             mean_size = np.add.reduceat(size, starts) / n
             distinct = np.bincount(np.unique(doc * BUCKETS + bucket) // BUCKETS, minlength=len(some)) / n
-            # a run of four equal to one before it in the text: repeated lines and passages
-            run = bucket.astype(np.uint64)
-            for k in (1, 2, 3):
-                run = run * np.uint64(0x9E3779B97F4A7C15) + np.r_[bucket[k:], np.zeros(min(k, len(bucket)), np.int64)][: len(bucket)].astype(np.uint64)
-            run = (run ^ (doc.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))) & np.uint64((1 << 62) - 1)
-            order = np.argsort(run, kind="stable")
-            again = np.r_[False, run[order][1:] == run[order][:-1]]
-            repeated = np.bincount(doc[order][again], minlength=len(some)) / n
+            # a run of four equal to one before it in the same text: repeated lines and passages; four buckets are 52 bits
+            run = np.zeros(max(0, len(bucket) - 3), dtype=np.int64)
+            for k in range(4):
+                run = run * BUCKETS + bucket[k : len(bucket) - 3 + k]
+            inside = np.flatnonzero(doc[3:] == doc[: len(run)])
+            run, of = run[inside], doc[inside]
+            order = np.lexsort((run, of))
+            again = np.r_[False, (run[order][1:] == run[order][:-1]) & (of[order][1:] == of[order][:-1])][: len(order)]
+            repeated = np.bincount(of[order][again], minlength=len(some)) / n
             rows[some, DIMS:] = np.stack([np.log(n) / 10, mean_size / 10, distinct, repeated, np.log(n) / np.sqrt(n)], axis=1)
         out.append(rows)
     return np.concatenate(out) if out else np.zeros((0, DIMS + EXTRA), np.float32)
@@ -192,9 +193,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, key: str, text: str, held:
 
     Rows that ``held`` marks teach nothing (null: they may teach). Of the
     others with one label, those ``max_learnt`` with the smallest hashes of the
-    key do; vectors come from all rows. Null texts are empty; equal rows score
-    alike; contradicting labels teach nothing; without labels all score 0.5.
+    key do; vectors come from all rows. Null texts are empty; equal texts
+    score alike whatever stands beside them; contradicting labels teach nothing; without labels all score 0.5.
     """
+    bound_batches(docs.sparkSession)
     vectors = docs.sparkSession.sparkContext.broadcast(word_vectors(docs, text))
 
     def run(batches):
@@ -203,7 +205,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, key: str, text: str, held:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(rows), pa.list_(pa.float32()))], ["doc_id", "held_out", "v"])
 
     kind = docs.schema[key].dataType.simpleString()
-    pooled = docs.select(F.col(key).alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held_out"), F.col(text).alias(free_name(docs, "text"))).mapInArrow(run, f"doc_id {kind}, held_out boolean, v array<float>")
+    pooled = docs.select(F.col(key).alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held_out"), F.col(text).alias(free_name(docs, "text"))).mapInArrow(tidied(run), f"doc_id {kind}, held_out boolean, v array<float>")
     pooled = materialise(pooled, "pooled")
     marks = labels.groupBy(F.col(key).alias("doc_id")).agg(F.min(label).alias("lo"), F.max(label).alias("hi")).filter("lo = hi").select("doc_id", F.col("lo").cast("double").alias("y"))
     taught = pooled.filter("not held_out").join(marks, "doc_id").withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", "v").limit(max_learnt).select("v", "y").toArrow()
