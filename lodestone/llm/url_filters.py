@@ -7,31 +7,36 @@ those run. Rules without a literal token are candidates for every URL.
 """
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import free_name, lower_ascii, table
+from lodestone.llm.common import free_name, lower_ascii, materialise, table
 
-#: Rules travel to the executors inside the task; more than this many bytes of patterns are refused.
-MAX_RULE_BYTES = 32 << 20
+#: Bytes of patterns that one pass over the pages applies; more rules take more passes.
+PASS_BYTES = 32 << 20
 TOKEN = re.compile(r"[a-z0-9]+")
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern`` is searched in ``host + "\\n" + path``; ``tokens`` are literals that a fitting URL has as whole tokens.
+    """``host`` and ``path`` are patterns that must both be found in host and path, or one of them if ``either``.
 
-    Of the rules that fit, the one with the highest ``weight`` decides, ties by name.
+    ``tokens`` are literals that a fitting URL has as whole tokens. Of the
+    rules that fit, the one with the highest ``weight`` decides; ties by name,
+    then the one given last.
     """
 
     name: str
-    pattern: str
+    host: str
+    path: str
     verdict: str
     tokens: tuple[str, ...]
     weight: int
+    either: bool = False
 
 
 def site_rule(rule: str, verdict: str) -> Rule:
@@ -44,7 +49,7 @@ def site_rule(rule: str, verdict: str) -> Rule:
     path = slash + rest
     ended = path if path and not path[-1].isalnum() else re.sub(r"[A-Za-z0-9]+$", "", path)
     tokens = TOKEN.findall(host.lower()) + TOKEN.findall(ended.lower())
-    return Rule(rule, rf"\A(?:[^\n]*\.)?{re.escape(host)}\n{re.escape(path)}", verdict, tuple(tokens), len(rule))
+    return Rule(rule, rf"(?s)(?:\A|\.){re.escape(host)}\Z", rf"\A{re.escape(path)}", verdict, tuple(tokens), len(rule))
 
 
 #: Words that mark a page as unwanted where one is a whole token of host or path.
@@ -53,7 +58,8 @@ UNWANTED = ("adserver", "betting", "casino", "doubleclick", "gambling", "porn",
 
 def word_rules(words=UNWANTED) -> list[Rule]:
     """Block rules of the method itself, below every site rule."""
-    return [Rule(f"word:{w}", rf"(?ai)(?<![a-z0-9]){re.escape(w)}(?![a-z0-9])", "block", (w,), 0) for w in words]
+    fits = [rf"(?ai)(?<![a-z0-9]){re.escape(w)}(?![a-z0-9])" for w in words]
+    return [Rule(f"word:{w}", p, p, "block", (w,), 0, either=True) for w, p in zip(words, fits)]
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -71,40 +77,59 @@ def filter_urls(pages: DataFrame, url: str, rules: list[Rule], default: str = "a
     """Add ``host``, ``path``, ``rule`` and ``verdict`` to ``pages``; existing columns of these names are replaced.
 
     ``rule`` names the deciding rule or is null, where ``verdict`` is ``default``.
-    Only the URL tokens that some rule has are counted, over all URLs.
+    Only the URL tokens that some rule has are counted, over all URLs. Hosts
+    and paths may hold any character, line ends included, and have any length;
+    repeated rows are judged each; a null URL has an empty host and path.
     """
-    if sum(len(r.pattern) + len(r.name) for r in rules) > MAX_RULE_BYTES:
-        raise ValueError("the rules exceed MAX_RULE_BYTES")
     host, path = host_and_path(F.col(url))
     known = sorted({t for r in rules for t in r.tokens})
     tokens = F.array_distinct(F.regexp_extract_all(lower_ascii(F.concat_ws("\n", host, path)), F.lit("[a-z0-9]+"), 0))
     seen = pages.select(F.explode(F.array_intersect(tokens, F.array(*map(F.lit, known)) if known else F.array().cast("array<string>"))).alias("t")).groupBy("t").count()
     freq = {r["t"]: r["count"] for r in seen.collect()}  # a row for each token of the rules at most
-    index: dict[str, list[Rule]] = {}
+    rank = {id(r): k for k, r in enumerate(sorted(rules, key=lambda r: (r.weight, r.name)))}  # stable: of equals the later ranks higher
+    passes: list[dict[str, list[tuple[int, Rule]]]] = [{}]
+    size = 0
     for r in rules:
-        index.setdefault(min(r.tokens, key=lambda t: (freq.get(t, 0), t)) if r.tokens else "", []).append(r)
-    found = free_name(pages, "verdict")
-    h, p = free_name(pages, "host"), free_name(pages, "path")
+        if size > PASS_BYTES:
+            passes.append({})
+            size = 0
+        size += len(r.host) + len(r.path) + len(r.name)
+        passes[-1].setdefault(min(r.tokens, key=lambda t: (freq.get(t, 0), t)) if r.tokens else "", []).append((rank[id(r)], r))
+    h, p, best = free_name(pages, "host"), free_name(pages, "path"), free_name(pages, "best")
     kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
-    sources = pages.select(*kept, host.alias(h), path.alias(p))
-
-    @F.pandas_udf("struct<rule string, verdict string>")
-    def judge(hosts: pd.Series, paths: pd.Series) -> pd.DataFrame:
-        compiled = {r.name: re.compile(r.pattern) for rs in index.values() for r in rs}
-        names, verdicts = [], []
-        for a, b in zip(hosts, paths):
-            text = f"{a}\n{b}"
-            best = None
-            for t in {*TOKEN.findall(text.encode().lower().decode()), ""}:
-                for r in index.get(t, ()):
-                    if (best is None or (r.weight, r.name) > (best.weight, best.name)) and compiled[r.name].search(text):
-                        best = r
-            names.append(best and best.name)
-            verdicts.append(best.verdict if best else default)
-        return pd.DataFrame({"rule": pd.Series(names, dtype=object), "verdict": verdicts})
-
-    out = sources.withColumn(found, judge(h, p))
-    return out.select(*kept, F.col(h).alias("host"), F.col(p).alias("path"), F.col(f"{found}.rule").alias("rule"), F.col(f"{found}.verdict").alias("verdict"))
+    out = pages.select(*kept, host.alias(h), path.alias(p), F.lit(None).cast("struct<rank:int,rule:string,verdict:string>").alias(best))
+    for k, index in enumerate(passes):
+        if k:
+            out = materialise(out, "url-verdicts")
+        found = _judge(index)(h, p)
+        out = out.withColumn(best, F.greatest(best, F.when(found["rank"].isNotNull(), found)))
+    return out.select(*kept, F.col(h).alias("host"), F.col(p).alias("path"), F.col(f"{best}.rule").alias("rule"), F.coalesce(f"{best}.verdict", F.lit(default)).alias("verdict"))
+
+
+def _judge(index: dict[str, list[tuple[int, Rule]]]):
+    """A UDF of hosts and paths: the highest-ranking rule of ``index`` that fits. A worker compiles a rule once, when it is first a candidate."""
+    compiled: dict[int, tuple] = {}
+
+    def fits(rank: int, rule: Rule, host: str, path: str) -> bool:
+        if rank not in compiled:
+            compiled[rank] = (re.compile(rule.host).search, re.compile(rule.path).search)
+        in_host, in_path = compiled[rank]
+        return bool(in_host(host) or in_path(path)) if rule.either else bool(in_host(host) and in_path(path))
+
+    @F.pandas_udf("struct<rank int, rule string, verdict string>")
+    def judge(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for hosts, paths in parts:
+            rows = []
+            for host, path in zip(hosts, paths):
+                best = None
+                for t in {*TOKEN.findall(f"{host}\n{path}".encode().lower().decode()), ""}:
+                    for rank, rule in index.get(t, ()):
+                        if (best is None or rank > best[0]) and fits(rank, rule, host, path):
+                            best = (rank, rule.name, rule.verdict)
+                rows.append(best or (None, None, None))
+            yield pd.DataFrame(rows, columns=["rank", "rule", "verdict"]).astype({"rank": "Int32", "rule": object, "verdict": object})
+
+    return judge
 
 
 #: The contract's rules.

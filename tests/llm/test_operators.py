@@ -70,18 +70,26 @@ def test_sharding(spark, odd, nothing, docs):
 
 
 # 2 URL filters ------------------------------------------------------------------------------------------------------
-def test_url_filters(spark):
-    urls = ["http://A.Example.NET/en/x?q", "https://example.net/de", "http://example.com/de/", "ftp://x.org/fr/a#b", "http://fox.org/fr", None, "", "no scheme", "http://casino.example.fr/", "http://notnet/", "http://net", "x://a?b://c/", "http://my.example.net:80/en/"]
+def test_url_filters(spark, monkeypatch):
+    urls = ["http://A.Example.NET/en/x?q", "https://example.net/de", "http://example.com/de/", "ftp://x.org/fr/a#b", "http://fox.org/fr", None, "", "no scheme", "http://casino.example.fr/", "http://notnet/", "http://net", "x://a?b://c/", "http://my.example.net:80/en/", "http://a\nb.net/x", "http://a.net/x", "http://a.net/x", "http://" + "s." * 40_000 + "net/" + "y" * 50_000, "http://q\nnet/", "http://ok.fr/a\ncasino"]
     pages = spark.createDataFrame([(i, u, "old") for i, u in enumerate(urls)], "page_id long, url string, host string")
     rules = [url_filters.site_rule(r, v) for r, v in url_filters.SITE_RULES] + url_filters.word_rules()
     found = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filters.filter_urls(pages, "url", rules).collect()}
     assert found[0] == ("a.example.net", "/en/x", "example.net/en/", "allow")
-    assert found[1] == ("example.net", "/de", None, "allow") or found[1][2] == "net/"
+    assert found[1] == ("example.net", "/de", "net/", "block")
+    assert found[13] == ("a\nb.net", "/x", "net/", "block") and found[14] == found[15] == ("a.net", "/x", "net/", "block")
+    assert found[16][2:] == ("net/", "block") and found[17][2:] == (None, "allow") and found[18][2:] == ("word:casino", "block")
     assert found[2][2:] == ("example.com/de/", "block") and found[3] == ("x.org", "/fr/a", "org/fr/", "allow")
     assert found[4][2] is None and all(found[k][:2] == ("", "") for k in (5, 6, 7))
     assert found[8][3] == "block" and found[9][2] is None and found[10] == ("net", "", None, "allow")
     assert found[11][:2] == ("a", "") and found[12][2] is None
     assert url_filters.filter_urls(pages.limit(0), "url", rules).count() == 0
+    # two rules of one name: the later one decides; rules beyond one pass decide alike
+    twice = [url_filters.site_rule("net/", "block"), url_filters.site_rule("net/", "allow")]
+    assert {r.verdict for r in url_filters.filter_urls(pages, "url", twice).filter("rule = 'net/'").collect()} == {"allow"}
+    monkeypatch.setattr(url_filters, "PASS_BYTES", 60)
+    again = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filters.filter_urls(pages, "url", rules).collect()}
+    assert again == found
 
 
 # 3 chat -------------------------------------------------------------------------------------------------------------
@@ -225,6 +233,23 @@ def test_classifier_on_held_out_rows(spark, odd, nothing):
     assert quality_classifier.score_quality(nothing, few, "doc_id", "text", F.lit(False)).count() == 0
 
 
+def _repeat_share(text):
+    """Plain version: of one text's tokens, those that begin a run of four equal to an earlier one."""
+    bucket = quality_classifier.tokenise([text])[0].tolist()
+    runs = [tuple(bucket[k : k + 4]) for k in range(len(bucket) - 3)]
+    return (len(runs) - len(set(runs))) / max(1, len(bucket))
+
+
+def test_pooling_stays_inside_a_document():
+    rng = np.random.default_rng(7)
+    texts = [b"x x x x", b"y z", b"x x x z", b"", b"a", b"x x x x", b"one two three four one two three four"] + [" ".join(rng.choice(list("abc"), rng.integers(0, 40))).encode() for _ in range(200)]
+    vectors = rng.normal(size=(quality_classifier.BUCKETS, quality_classifier.DIMS)).astype(np.float32)
+    want = np.concatenate([quality_classifier.pool([t], vectors) for t in texts])
+    for order in (np.arange(len(texts)), rng.permutation(len(texts)), rng.permutation(len(texts))):
+        assert np.allclose(quality_classifier.pool([texts[k] for k in order], vectors), want[order], atol=1e-6)
+    assert np.allclose(want[:, quality_classifier.DIMS + 3], [_repeat_share(t) for t in texts], atol=1e-6)
+
+
 # 8 decontamination --------------------------------------------------------------------------------------------------
 def test_decontamination(spark, docs):
     found = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in registry.queries()["op8_decontamination"](spark, SF).collect()}
