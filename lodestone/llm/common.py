@@ -77,10 +77,14 @@ def discard(df: DataFrame) -> None:
 BROADCAST_ROWS = 200_000
 
 
-def light(df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, a narrow side of a join, written once and counted: to be broadcast if it has ``rows`` rows at most."""
+def light(df: DataFrame, name: str, rows: int = BROADCAST_ROWS, size: Column | None = None) -> DataFrame:
+    """``df``, a narrow side of a join, written once and counted: to be broadcast if it has ``rows`` rows at most.
+
+    ``size``: how many a row counts for, where rows hold arrays.
+    """
     out = materialise(df, name)
-    return F.broadcast(out) if out.count() <= rows else out
+    held = out.count() if size is None else out.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    return F.broadcast(out) if held <= rows else out
 
 
 #: Bytes of an Arrow batch that goes to a Python worker. A longer text makes a larger batch of its own.
@@ -137,3 +141,23 @@ def free_name(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def running(values: Column, merge, first: int = 0, chunk: int = 256) -> Column:
+    """The running ``merge`` (of two longs) over an array of longs, from ``first`` on.
+
+    A lambda that appends copies its array at each step, so only chunks are
+    scanned that way, and then the chunks' totals.
+    """
+    none = F.array().cast("array<bigint>")
+    last = lambda xs, default: F.coalesce(F.get(xs, F.size(xs) - 1), default)
+    zero = F.lit(first).cast("long")
+    n = F.size(values)
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((n - 1) / chunk).cast("int"), F.lit(0))), lambda j: F.slice(values, j * chunk + 1, chunk))
+    scanned = F.transform(parts, lambda p: F.aggregate(p, none, lambda acc, x: F.concat(acc, F.array(merge(last(acc, zero), x)))))
+
+    def joined(inner: Column) -> Column:
+        before = F.aggregate(inner, F.array(zero), lambda acc, p: F.concat(acc, F.array(merge(last(acc, zero), last(p, zero)))))
+        return let(before, lambda b: F.flatten(F.transform(inner, lambda p, j: F.transform(p, lambda x: merge(F.get(b, j), x)))))
+
+    return let(scanned, joined)

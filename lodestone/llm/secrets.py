@@ -7,7 +7,8 @@ code-point offsets, end exclusive.
 
 Spark has no function that returns the places of all matches, so they come
 from splitting: with n matches a text splits into n + 1 pieces, and the running
-sum of piece and match lengths gives every start and end.
+sum of piece and match lengths gives every start and end. All of it takes time
+in proportion to a text's length and spans.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import free_name, let, light, materialise, table
+from lodestone.llm.common import free_name, let, light, materialise, running, table
 
 #: The contract's kinds, in its order: name, pattern, group whose length counts (0: match), least length.
 BASE_KINDS = (
@@ -44,17 +45,12 @@ def _spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Col
     rx = F.lit(pattern)
 
     def place(found: Column) -> Column:
-        pieces = F.split(text, pattern, -1)
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
-
-        def step(acc: Column, x: Column) -> Column:
-            a = acc["at"] + F.length(x["piece"])
-            b = a + F.length(x["whole"])
-            return F.struct(b.alias("at"), F.concat(acc["spans"], F.array(F.struct(a.alias("start"), b.alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value")))).alias("spans"))
-
+        pieces = F.slice(F.split(text, pattern, -1), 1, F.size(found))
         values = F.regexp_extract_all(text, rx, group) if group else found
-        rows = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("piece"), found.alias("whole"), values.alias("value"))
-        all_spans = F.aggregate(rows, start, step, lambda acc: acc["spans"])
+        rows = F.arrays_zip(found.alias("whole"), values.alias("value"))
+        steps = F.zip_with(pieces, found, lambda x, y: (F.length(x) + F.length(y)).cast("long"))
+        span = lambda x, b: F.struct((b - F.length(x["whole"])).cast("int").alias("start"), b.cast("int").alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value"))
+        all_spans = let(running(steps, lambda x, y: x + y), lambda ends: F.transform(rows, lambda x, i: span(x, F.get(ends, i))))
         return F.filter(all_spans, lambda s: F.length(s["value"]) >= least) if least else all_spans
 
     none = F.array().cast(f"array<{SPAN}>")
@@ -90,7 +86,7 @@ def scan_secrets(docs: DataFrame, text: str, owner: str, repository: str, keep:
     How many texts of few owners hold it doesn't matter then.
     """
     kept = [c for c in keep if c not in ("base_spans", "more_spans", "live_spans")]
-    uid, own, repo, t, base, more, body = (free_name(docs, x) for x in ("uid", "own", "repo", "text", "base", "more", "body"))
+    uid, own, repo, t, base, more, body, every = (free_name(docs, x) for x in ("uid", "own", "repo", "text", "base", "more", "body", "every"))
     whole = F.coalesce(F.col(text), F.lit(""))
     found = docs.withColumn(t, whole).select(
         *kept, F.col(owner).cast("string").alias(own), F.col(repository).cast("string").alias(repo), F.monotonically_increasing_id().alias(uid), *([] if example_share is None else [F.sha2(t, 256).alias(body)]),
@@ -98,52 +94,59 @@ def scan_secrets(docs: DataFrame, text: str, owner: str, repository: str, keep:
     )
     found = materialise(found, "secrets")  # the row number is fixed from here on
     key = F.sha2("value", 256).alias("key")
-    values = F.array_distinct(F.transform(F.concat(base, more), lambda s: s["value"]))
-    if example_share is not None:
-        return _unless_examples(found, kept, (uid, own, body, base, more), values, live_owners, example_share)
+    found = found.withColumn(every, by_place(F.concat(base, more)))
+    values = F.array_distinct(F.transform(every, lambda s: s["value"]))
     # distinct (value, owner) pairs first: a value in a third of all documents is summed up where it is read
-    held = found.select(own, repo, F.explode(values).alias("value")).select(own, repo, key)
-    by_repo = held.groupBy("key", own, repo).agg(F.lit(1).alias("one"))
-    by_owner = by_repo.groupBy("key", own).agg(F.count("*").alias("repositories"))
-    few = by_owner.groupBy("key").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories")).filter((F.col("owners") <= live_owners) & (F.col("repositories") <= live_repositories)).select("key")
-    # only values of few owners go on, so no key of this join is hot
-    spans = found.select(uid, F.explode(values).alias("value")).select(uid, "value", key)
-    live = spans.join(few, "key").groupBy(uid).agg(F.collect_set("value").alias("live"))
-    live = light(live, "live", 20_000)  # rows of secrets, each the values of one text
-    out = found.join(live, uid, "left")
-    is_live = lambda s: F.coalesce(F.array_contains("live", s["value"]), F.lit(False))
-    return out.select(*kept, F.col(base).alias("base_spans"), F.filter(more, is_live).alias("more_spans"), F.filter(by_place(F.concat(base, more)), is_live).alias("live_spans"))
-
-
-def _unless_examples(found: DataFrame, kept: list[str], names: tuple[str, ...], values: Column, live_owners: int, share: float) -> DataFrame:
-    """:func:`scan_secrets`'s result where all values are live that are no proven examples."""
-    uid, own, body, base, more = names
-    key = F.sha2("value", 256).alias("key")
-    owners = found.agg(F.count_distinct(own) + F.max(F.col(own).isNull().cast("int"))).first()[0] or 0
-    least = max(live_owners + 1, math.ceil(share * owners))
-    # copies of a text hold the same values, so a text's owner may be told value by value
-    by_text = found.select(own, body, F.explode(values).alias("value")).groupBy(key, body).agg(F.min(F.coalesce(own, F.lit(""))).alias(own))
-    by_owner = by_text.groupBy("key", own).agg(F.lit(1).alias("one"))
-    examples = light(by_owner.groupBy("key").agg(F.count("*").alias("owners")).filter(F.col("owners") >= least).select("key"), "examples")
-    copied = found.select(uid, F.explode(values).alias("value")).select(uid, "value", key).join(examples, "key").groupBy(uid).agg(F.collect_set("value").alias("copied"))
-    out = found.join(light(copied, "copied", 20_000), uid, "left")
-    is_live = lambda s: ~F.coalesce(F.array_contains("copied", s["value"]), F.lit(False))
-    return out.select(*kept, F.col(base).alias("base_spans"), F.filter(more, is_live).alias("more_spans"), F.filter(by_place(F.concat(base, more)), is_live).alias("live_spans"))
+    if example_share is None:
+        held = found.select(own, repo, F.explode(values).alias("value")).select(own, repo, key)
+        by_repo = held.groupBy("key", own, repo).agg(F.lit(1).alias("one"))
+        by_owner = by_repo.groupBy("key", own).agg(F.count("*").alias("repositories"))
+        told = by_owner.groupBy("key").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories")).filter((F.col("owners") <= live_owners) & (F.col("repositories") <= live_repositories)).select("key")
+    else:
+        owners = found.agg(F.count_distinct(own) + F.max(F.col(own).isNull().cast("int"))).first()[0] or 0
+        least = max(live_owners + 1, math.ceil(example_share * owners))
+        # copies of a text hold the same values, so a text's owner may be told value by value
+        by_text = found.select(own, body, F.explode(values).alias("value")).groupBy(key, body).agg(F.min(F.coalesce(own, F.lit(""))).alias(own))
+        by_owner = by_text.groupBy("key", own).agg(F.lit(1).alias("one"))
+        told = light(by_owner.groupBy("key").agg(F.count("*").alias("owners")).filter(F.col("owners") >= least).select("key"), "examples")
+    # places of the spans with such a value; values of few owners make no hot key, examples are few
+    places = found.select(uid, F.posexplode(F.transform(every, lambda s: s["value"])).alias("at", "value")).select(uid, "at", key).join(told, "key")
+    places = light(places.groupBy(uid).agg(F.sort_array(F.collect_list("at")).alias("places")), "places", 500_000, F.size("places"))
+    out = found.join(places, uid, "left")
+    at = F.coalesce("places", F.array().cast("array<int>"))
+    if example_share is not None:  # all but the examples
+        at = F.when(F.size(every) > 0, F.array_except(F.sequence(F.lit(0), F.size(every) - 1), at)).otherwise(at)
+    live = F.transform(at, lambda i: F.get(every, i))
+    kinds = [k[0] for k in MORE_KINDS]
+    return out.select(*kept, F.col(base).alias("base_spans"), F.filter(live, lambda s: s["kind"].isin(kinds)).alias("more_spans"), live.alias("live_spans"))
 
 
 def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """``text`` with the characters of all spans (sorted by start) replaced by ``mark``, once a run of overlapping spans."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def redact(text: Column, spans: Column, mark: str = "[SECRET]", block: int = 4096) -> Column:
+    """``text`` with the characters of all spans (sorted by start) replaced by ``mark``, once a run of overlapping spans.
+
+    What stays is cut from blocks of the text, as a cut from the text itself
+    would count its characters from the start each time.
+    """
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), 0)
+
+    def cleaned(bs: Column) -> Column:
+        def cut(a: Column, b: Column) -> Column:
+            i = F.floor(a / block).cast("int")
+            return F.substring(F.array_join(F.slice(bs, i + 1, F.greatest(F.floor((b - 1) / block).cast("int") - i + 1, F.lit(0))), ""), a.cast("int") - i * block + 1, (b - a).cast("int"))
+
+        def pieces(ends: Column) -> Column:
+            before = lambda i: F.coalesce(F.get(ends, i - 1), F.lit(0).cast("long"))
+            gaps = F.transform(spans, lambda s, i: F.struct(before(i).alias("a"), s["start"].cast("long").alias("b")))
+            gaps = F.filter(gaps, lambda g: g["b"] >= g["a"])
+            return F.array_join(F.concat(F.transform(gaps, lambda g: cut(g["a"], g["b"])), F.array(cut(before(F.size(ends)), F.length(text).cast("long")))), mark)
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = s["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(gap, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"))
+        return let(running(F.transform(spans, lambda s: s["end"].cast("long")), lambda x, y: F.greatest(x, y)), pieces)
 
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return let(blocks, cleaned)
 
 
 def op9_secret_scans(spark, sf_dir):

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import random
 import zlib
 
 import numpy as np
@@ -291,6 +292,29 @@ def test_ownership_and_redaction(spark):
     assert [s["kind"] for s in out[9].live_spans] == ["github", "assign"] and out[9].clean == "é [SECRET], [SECRET] x"
 
 
+def test_dense_text_and_overlaps(spark):
+    """Thousands of spans in one text, and redaction of overlapping spans in blocks of any size, against plain versions."""
+    rng = random.Random(3)
+    dense = "é".join(f"token={k:08d} {'ab' * 13} " for k in range(9000))
+    rows = [(1, dense, "a"), (2, dense, "b"), (3, "", "c"), (4, None, "c")]
+    out = {r.doc_id: r for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string"), "text", "source", "doc_id", ["doc_id", "text"]).withColumn("j", secrets.joined(F.col("base_spans"))).withColumn("clean", secrets.redact(F.coalesce("text", F.lit("")), F.col("live_spans"))).collect()}
+    assert out[1].j == out[2].j == ",".join(brute.secrets(dense)) and len(out[1].live_spans) == 18_000
+    assert out[1].clean == "é".join(["[SECRET] [SECRET] "] * 9000) and out[3].clean == out[4].clean == ""
+    cases = []
+    for _ in range(60):
+        text = "".join(rng.choices("abcé日😀 ", k=rng.randrange(0, 60)))
+        spans = sorted((a, min(len(text), a + rng.randrange(1, 12))) for a in (rng.randrange(0, max(1, len(text))) for _ in range(rng.randrange(0, 9))) if text)
+        want, at = "", 0
+        for a, b in spans:
+            if a >= at:
+                want += text[at:a] + "[SECRET]"
+            at = max(at, b)
+        cases.append((text, [{"start": a, "end": b} for a, b in spans], want + text[at:]))
+    df = spark.createDataFrame(cases, "text string, spans array<struct<start:int,end:int>>, want string")
+    for block in (1, 7, 4096):
+        assert all(r.c == r.want for r in df.select("want", secrets.redact(F.col("text"), F.col("spans"), block=block).alias("c")).collect())
+
+
 # 10 byte-level BPE --------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("name", ["byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.tiktoken"])
 def test_bpe_like_tiktoken(name):
