@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
+import contextvars
 import tempfile
 import uuid
 
@@ -37,40 +39,55 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-#: Where not None, tables made by :func:`materialise` are noted here.
-_noted: list[DataFrame] | None = None
+#: In the current context, the list that tables made by :func:`materialise` are noted in.
+_noted: contextvars.ContextVar[list[DataFrame] | None] = contextvars.ContextVar("noted", default=None)
+#: Folders of this process's tables, which go when it ends.
+_folders: set[str] = set()
 
 
 @contextlib.contextmanager
 def noting(tables: list[DataFrame]):
     """Note the tables that :func:`materialise` makes meanwhile, for a caller that discards them when it is done."""
-    global _noted
-    before, _noted = _noted, tables
+    mark = _noted.set(tables)
     try:
         yield
     finally:
-        _noted = before
+        _noted.reset(mark)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Results are lazy and read their tables when they run, so tables stay until
+    they are discarded or the driver's process ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/lodestone-{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_delete, folder, spark.sparkContext._gateway, spark.sparkContext._jsc.hadoopConfiguration())
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(spark.read.parquet(path).schema).parquet(path)
     out._lodestone_path = path
-    if _noted is not None:
-        _noted.append(out)
+    noted = _noted.get()
+    if noted is not None:
+        noted.append(out)
     return out
 
 
+def _delete(path: str, gateway, configuration) -> None:
+    with contextlib.suppress(Exception):  # at the end of the process the JVM may be gone
+        at = gateway.jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(configuration).delete(at, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a frame made by :func:`materialise` that nothing reads any more."""
     path = getattr(df, "_lodestone_path", None)
     if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        sc = df.sparkSession.sparkContext
+        _delete(path, sc._gateway, sc._jsc.hadoopConfiguration())
 
 
 #: Rows up to which a table of keys may be broadcast; more go through a shuffle join.

@@ -2,11 +2,12 @@
 
 Each rule rejects a document whose feature exceeds a cutoff. Cutoffs come from
 labelled documents: for each stratum and rule, from a fixed grid, one for which
-the exact binomial test shows a false-rejection rate below ``alpha``. The tests
-share the error ``delta`` over strata and rules (Bonferroni) and go through the
-grid in a fixed sequence, so with probability 1 - ``delta`` no chosen cutoff
-rejects ``alpha`` of a stratum's good documents or more. A stratum with too few labels
-for any proof rejects nothing by that rule.
+the exact binomial test shows a false-rejection rate below the rule's share of
+``alpha``, which the rules divide equally. The tests share the error ``delta``
+over strata and rules (Bonferroni) and go through the grid in a fixed sequence.
+So with probability 1 - ``delta`` all rules together reject less than ``alpha``
+of each stratum's good documents. A stratum with too few labels for any proof
+rejects nothing by that rule.
 """
 
 from __future__ import annotations
@@ -32,25 +33,35 @@ BASE = "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:big
 def _repeat_words(w: Column) -> Column:
     """Words inside 8-word windows that occur twice or more in the text, the first time included.
 
-    Windows are compared by 64-bit hashes. Only texts with equal hashes pay for
-    the second part: equal windows meet in a sort, and each repeated start
-    covers the words up to the next one, WINDOW of them at most.
+    Only texts with windows of equal hashes pay for the second part: equal
+    windows meet in a sort, and each repeated start covers the words up to the
+    next one, WINDOW of them at most. Windows of equal hashes are compared word
+    by word; where two differ, they are sorted by their words instead.
     """
 
     def covered(hashes: Column) -> Column:
         pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
-        def places(p: Column) -> Column:
+        def doubles(p: Column) -> Column:
             n = F.size(p)
-            same = lambda x, i, j: F.coalesce(F.get(p, j)["h"] == x["h"], F.lit(False))  # noqa: E731, ARG005
-            twice = F.filter(p, lambda x, i: same(x, i, i - 1) | same(x, i, F.least(i + 1, n)))
-            return F.sort_array(F.transform(twice, lambda x: x["i"]))
+            same = lambda x, j: F.coalesce(F.get(p, j)["h"] == x["h"], F.lit(False))
+            return F.filter(p, lambda x, i: same(x, i - 1) | same(x, F.least(i + 1, n)))
+
+        def starts(p: Column) -> Column:
+            window = lambda x: F.slice(w, x["i"] + 1, WINDOW)
+            clash = F.exists(F.transform(p, lambda x, i: F.coalesce((F.get(p, i - 1)["h"] == x["h"]) & (window(F.get(p, i - 1)) != window(x)), F.lit(False))), lambda x: x)
+
+            def by_words() -> Column:
+                named = F.sort_array(F.transform(p, lambda x: F.struct(F.array_join(window(x), " ").alias("h"), x["i"].alias("i"))))
+                return let(named, lambda q: F.transform(doubles(q), lambda x: x["i"]))
+
+            return F.sort_array(F.when(clash, by_words()).otherwise(F.transform(p, lambda x: x["i"])))
 
         def total(s: Column) -> Column:
             start = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).cast("long").alias("n"))
             return F.aggregate(s, start, lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(WINDOW), i - acc["last"])).cast("long").alias("n")), lambda acc: acc["n"])
 
-        return let(let(pairs, places), total)
+        return let(let(let(pairs, doubles), starts), total)
 
     def windows(ws: Column) -> Column:
         n = F.size(ws) - WINDOW
@@ -122,6 +133,7 @@ def log_binomial_tail(k: Column, n: Column, p: float) -> Column:
 def cutoffs(labelled: DataFrame, stratum: str, good: str, alpha: float, delta: float, least_gain: float = 0.02) -> DataFrame:
     """(stratum, rule, cutoff) for the rules in use. ``labelled`` has the stratum, the RULES and a boolean ``good``.
 
+    ``alpha`` is each rule's own, ``delta`` that of all tests together.
     A rule's cutoffs are tested from the mildest on and the first failure ends
     the sequence, which needs no share of ``delta`` for each cutoff. Of the
     proven ones that cutoff is chosen which rejects the most of the bad less
@@ -129,10 +141,11 @@ def cutoffs(labelled: DataFrame, stratum: str, good: str, alpha: float, delta: f
     ``least_gain``. Counts by stratum, rule and grid cell come first, so that
     no stratum's rows meet in one task; the rest works on grid cells.
     """
-    pairs = F.array(*[F.struct(F.lit(r).alias("rule"), F.least(F.lit(len(GRID)), F.greatest(F.lit(0), F.ceil(F.col(r) * 50 - 1e-9) - 1)).cast("int").alias("cell")) for r in RULES])
+    exceeded = lambda x: F.size(F.filter(F.array(*map(F.lit, GRID)), lambda c: x > c))
+    pairs = F.array(*[F.struct(F.lit(r).alias("rule"), exceeded(F.col(r)).alias("cell")) for r in RULES])
     one = lambda c: F.count(F.when(c, 1))
     cells = labelled.select(F.col(stratum).alias("stratum"), F.col(good).alias("good"), F.explode(pairs).alias("x")).groupBy("stratum", "x.rule", "x.cell").agg(one(F.col("good")).alias("good"), one(~F.col("good")).alias("bad"))
-    # cell c holds the features above c / 50 up to (c + 1) / 50; all of cells >= c are rejected by the cutoff c / 50
+    # a cell is how many of the cutoffs a feature exceeds, by the comparison that judges too; the cutoff c rejects all cells >= c
     counts = lambda c: F.map_from_entries(F.collect_list(F.struct("cell", c)))
     grid = cells.groupBy("stratum", "rule").agg(counts("good").alias("g"), counts("bad").alias("b"), F.sum("good").alias("total"), F.sum("bad").alias("total_bad"))
     grid = grid.select("stratum", "rule", "total", "total_bad", "g", "b", F.posexplode(F.array(*map(F.lit, GRID))).alias("at", "cutoff"))
@@ -147,9 +160,12 @@ def cutoffs(labelled: DataFrame, stratum: str, good: str, alpha: float, delta: f
     return best.filter(F.col("best.gain") >= least_gain).select("stratum", "rule", "best.cutoff")
 
 
-def judge(docs: DataFrame, labels: DataFrame, key: str, text: str, stratum: str, keep: list[str], alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, key: str, text: str, stratum: str, keep: list[str], alpha: float = 0.08, delta: float = 0.05) -> DataFrame:
     """The columns ``keep`` with ``base`` (struct), ``base_failed``, ``kept`` and ``broken`` (names of the rules broken).
 
+    With probability 1 - ``delta`` the cutoffs reject less than ``alpha`` of
+    the good documents of every stratum, all rules together.
+
     ``labels`` has ``key`` and ``quality`` (1: good); documents without a label,
     or with contradicting ones, calibrate nothing. Null strata form one
     stratum. A null text has no words and fails. Columns of ``docs`` with the
@@ -160,7 +176,7 @@ def judge(docs: DataFrame, labels: DataFrame, key: str, text: str, stratum: str,
     found = materialise(docs.select(*kept, F.col(key).alias(ident), F.col(stratum).cast("string").alias(strat), base_features(F.col(text)).alias(base)), "quality")
     marks = labels.groupBy(F.col(key).alias(ident)).agg(F.min("quality").alias("lo"), F.max("quality").alias("hi")).filter("lo = hi").select(ident, (F.col("lo") == 1).alias("good"))
     features = found.select(ident, strat, *[c.alias(r) for r, c in shares(F.col(base)).items()])
-    limits = cutoffs(features.join(marks, ident), strat, "good", alpha, delta)
+    limits = cutoffs(features.join(marks, ident), strat, "good", alpha / len(RULES), delta)
     limits = limits.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("limits"))
     limits = light(limits, "limits", 10_000)  # a row for each stratum
     out = found.join(limits, F.col(strat).eqNullSafe(F.col("stratum")), "left")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import discard, free_name, light, materialise, table
+from lodestone.llm.common import bound_batches, discard, free_name, light, materialise, table, tidied
 
 #: The vantage points of both halves, 32 bits each.
 VANTAGE = (0x5A3C96E1, 0xC35A6978)
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, key: str, text: str, size: int = 3) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select(key, text).mapInArrow(tidied(run), f"doc_id {kind}, fp long")
 
 
 def mask_bits(fingerprints_in_all: int) -> int:
@@ -213,8 +213,8 @@ def linked(reps: DataFrame, radius: int, bits: int) -> DataFrame:
             a, b = np.unique(np.concatenate(out, axis=1), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    spread = reps.select("fp", "rep").mapInArrow(route, "leaf long, away boolean, fp long, rep long")
-    return spread.repartition("leaf").sortWithinPartitions("leaf", "away").mapInArrow(link, "a long, b long")
+    spread = reps.select("fp", "rep").mapInArrow(tidied(route), "leaf long, away boolean, fp long, rep long")
+    return spread.repartition("leaf").sortWithinPartitions("leaf", "away").mapInArrow(tidied(link), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import light, materialise
+from lodestone.llm.common import bound_batches, light, materialise, tidied
 from lodestone.llm.simhash import components
 
 #: Similarity of a link as a fraction; members of a group whose pairs are all given at once; the growth of pivots.
 ALIKE = (4, 5)
 SMALL_GROUP, PIVOTS = 16, 8
 #: Shingles counted at a time, and how many of the commonest are ordered by count. They touch costs, not results.
-COUNTED, COMMON = 4 << 20, 500_000
+COUNTED, COMMON = 2 << 20, 500_000
 
 
 def shingles(text: bytes, size: int = 5) -> np.ndarray:
@@ -71,7 +71,7 @@ def read(docs: DataFrame, size: int) -> DataFrame:
         if held:
             yield counted()
 
-    return docs.mapInArrow(run, "doc_id long, set binary, token long, n long")
+    return docs.mapInArrow(tidied(run), "doc_id long, set binary, token long, n long")
 
 
 def prefixes(docs: DataFrame, size: int, keys: np.ndarray, counts: np.ndarray) -> DataFrame:
@@ -93,7 +93,7 @@ def prefixes(docs: DataFrame, size: int, keys: np.ndarray, counts: np.ndarray) -
             token, i, n, place = (np.concatenate(x) for x in zip(*parts))
             yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(i), pa.array(n), pa.array(place)], ["token", "id", "n", "place"])
 
-    return docs.mapInArrow(run, "token long, id long, n int, place int")
+    return docs.mapInArrow(tidied(run), "token long, id long, n int, place int")
 
 
 def pairs(ids: np.ndarray, n: np.ndarray, place: np.ndarray, linked: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +139,7 @@ def candidates(entries: DataFrame, low: int, high: int) -> DataFrame:
             yield found(held)
 
     dealt = entries.select("token", "id", "n", "place", "linked").repartition("token").sortWithinPartitions("token", "id", "n", "place")
-    return dealt.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
+    return dealt.mapInArrow(tidied(run), "a long, b long").filter("a <> b").distinct()
 
 
 def similar(docs: DataFrame, found: DataFrame, size: int) -> DataFrame:
@@ -159,9 +159,9 @@ def similar(docs: DataFrame, found: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     needed = light(found.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "needed")
-    sets = materialise(docs.join(needed, "id", "left_semi").select("id", "text").mapInArrow(run, "id long, hashes binary"), "sets")
+    sets = materialise(docs.join(needed, "id", "left_semi").select("id", "text").mapInArrow(tidied(run), "id long, hashes binary"), "sets")
     x, y = (sets.select(F.col("id").alias(k), F.col("hashes").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    return found.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()
+    return found.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(tidied(compare), "a long, b long").distinct()
 
 
 def near_copies(docs: DataFrame, key: str, text: str, size: int = 5) -> DataFrame:
@@ -170,6 +170,7 @@ def near_copies(docs: DataFrame, key: str, text: str, size: int = 5) -> DataFram
     ``key`` is an integer. Rows of one id are one document: they link what
     either is linked to. Null texts have no words; texts without words are equal.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     told = materialise(read(rows, size), "told")
     prints = told.filter("doc_id is not null").select("doc_id", "set")

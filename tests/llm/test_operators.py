@@ -173,6 +173,70 @@ def test_cutoffs_keep_their_promise(spark):
     assert brute.binomial_tail(wrong, 3000, 0.02) <= 0.05 / 8
 
 
+def _brute_cutoffs(rows, alpha, delta):
+    """{(stratum, rule): cutoff} of (stratum, good, features), cutoff by cutoff from the mildest on."""
+    strata, out = {r[0] for r in rows}, {}
+    for s in strata:
+        for k, rule in enumerate(quality_rules.RULES):
+            good, bad = ([r[2][k] for r in rows if r[0] == s and r[1] is g] for g in (True, False))
+            best = None
+            for c in reversed(quality_rules.GRID):
+                lost = sum(x > c for x in good)
+                if lost >= alpha * len(good) or brute.binomial_tail(lost, len(good), alpha) > delta / len(strata) / len(quality_rules.RULES):
+                    break
+                gain = sum(x > c for x in bad) / max(1, len(bad)) - lost / max(1, len(good))
+                if best is None or gain > best[0]:
+                    best = (gain, c)
+            if best and best[0] >= 0.02:
+                out[s, rule] = best[1]
+    return out
+
+
+def test_cutoffs_act_on_documents(spark):
+    """Whole texts in, verdicts out, where cutoffs are proven: against plain Python, and the stratum's own promise."""
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    rows, labels = [], []
+    for i in range(2400):
+        good, stratum = rng.random() < 0.8, rng.choice(["en", "en", "de", None])
+        words = [word(rng.randrange(3, 8)) for _ in range(rng.randrange(18, 60))]
+        for _ in range(rng.randrange(0, 2) if good and rng.random() < 0.95 else rng.randrange(4, 30)):
+            words.insert(rng.randrange(len(words)), rng.choice("#*$%&|<>") * 3)
+        lines = [" ".join(words[k : k + 6]) for k in range(0, len(words), 6)]
+        if not good and rng.random() < 0.5:
+            lines += lines[:3]
+        rows.append((i, "\n".join(lines), stratum, "clash"))
+        if rng.random() < 0.9:
+            labels.append((i, int(good)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, kept string")
+    out = {r.doc_id: r for r in quality_rules.judge(docs, spark.createDataFrame(labels, "doc_id long, quality int"), "doc_id", "text", "lang", ["doc_id"]).collect()}
+    feature, stratum_of = {}, {r[0]: r[2] for r in rows}
+    for i, text, *_ in rows:
+        n, chars, symbols, lines, repeats = brute.quality(text)
+        m = max(1, n)
+        feature[i] = (symbols / max(1, chars), min(1.0, 8.0 * lines / m), repeats / m, min(1.0, chars / m / 32.0))
+    found = _brute_cutoffs([(stratum_of[i], q == 1, feature[i]) for i, q in labels], 0.08 / 4, 0.05)
+    assert {s for s, _ in found} == {"en", "de", None}
+    for i, text, stratum, _ in rows:
+        broken = [r for k, r in enumerate(quality_rules.RULES) if (stratum, r) in found and feature[i][k] > found[stratum, r]]
+        base = brute.quality(text)
+        failed = base[0] < 20 or 100 * base[4] > 30 * base[0]
+        assert (out[i].broken, out[i].base_failed, out[i].kept) == (broken, failed, not failed and not broken), i
+    for s in ("en", "de", None):
+        good = [i for i, q in labels if q == 1 and stratum_of[i] == s]
+        assert sum(bool(out[i].broken) for i in good) < 0.08 * len(good)
+
+
+def test_windows_of_equal_hashes_are_compared(spark, docs, monkeypatch):
+    """With a hash that is the same for very many windows the counts stay as they are."""
+    real = F.xxhash64
+    monkeypatch.setattr(quality_rules.F, "xxhash64", lambda *c: real(*c) % 5)
+    texts = [t for _, t in docs[:60]] + ["the cat " * 40, "a b c d e f g h " * 3 + "x y"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    found = {r.i: tuple(r.b) for r in df.select("i", quality_rules.base_features(F.col("text")).alias("b")).collect()}
+    assert found == {i: brute.quality(t) for i, t in enumerate(texts)}
+
+
 # 6 language model ---------------------------------------------------------------------------------------------------
 def test_word_scores(spark, docs, nothing):
     found = registry.queries()["op6_lm_scoring"](spark, SF).collect()
