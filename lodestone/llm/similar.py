@@ -164,9 +164,12 @@ def similar(docs: DataFrame, found: DataFrame, size: int) -> DataFrame:
     return found.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(tidied(compare), "a long, b long").distinct()
 
 
-def near_copies(docs: DataFrame, key: str, text: str, size: int = 5) -> DataFrame:
+def near_copies(docs: DataFrame, key: str, text: str, size: int = 5, seeds: DataFrame | None = None) -> DataFrame:
     """(doc_id, component_id): all rows with an id, each with the smallest id of its linked set.
 
+    ``seeds`` (doc_id, component_id) are sets that another method found. Their
+    members are compared with what names them before anything else, and those
+    that are similar need no more links. Results don't depend on it.
     ``key`` is an integer. Rows of one id are one document: they link what
     either is linked to. Null texts have no words; texts without words are equal.
     """
@@ -183,7 +186,20 @@ def near_copies(docs: DataFrame, key: str, text: str, size: int = 5) -> DataFram
     copies = light(named.groupBy("doc_id").agg(F.max(F.col("rep") == F.col("doc_id")).alias("own")).filter("not own").select(F.col("doc_id").alias("id")), "copies")
     single = rows.join(copies, "id", "left_anti").select("id", "text")
     entries = materialise(prefixes(single, size, keys[order], counts[order]), "prefixes")
-    edges = materialise(similar(single, materialise(candidates(entries.withColumn("linked", F.col("id")), 0, 1), "pairs"), size), "edges")
+
+    def known(rows: DataFrame) -> DataFrame:
+        """``rows`` with the component that each id is known to be in."""
+        sofar = components(edges).select(F.col("node").alias("id"), F.col("component").alias("linked"))
+        return rows.join(light(sofar, "linked"), "id", "left").withColumn("linked", F.coalesce("linked", "id"))
+
+    if seeds is None:
+        now, edges = entries.withColumn("linked", F.col("id")), None
+    else:
+        told = seeds.filter("doc_id <> component_id").select(F.col("component_id").cast("long").alias("a"), F.col("doc_id").cast("long").alias("b")).distinct()
+        edges = materialise(similar(single, materialise(told.join(reps.select(F.col("rep").alias("b")), "b", "left_semi").select("a", "b"), "pairs"), size), "edges")
+        now = known(entries)
+    found = similar(single, materialise(candidates(now, 0, 1), "pairs"), size)
+    edges = materialise(found if edges is None else edges.unionByName(found), "edges")
     sizes = entries.groupBy("token").agg(F.count("*").alias("members")).filter(F.col("members") > SMALL_GROUP)
     sizes = light(sizes, "large")
     most = sizes.agg(F.coalesce(F.max("members"), F.lit(0))).first()[0]
@@ -191,9 +207,7 @@ def near_copies(docs: DataFrame, key: str, text: str, size: int = 5) -> DataFram
         large = materialise(entries.join(sizes.select("token"), "token", "left_semi"), "large-groups")
         low = 1
         while low < most:
-            sofar = components(edges).select(F.col("node").alias("id"), F.col("component").alias("linked"))
-            now = large.join(light(sofar, "linked"), "id", "left").withColumn("linked", F.coalesce("linked", "id"))
-            found = materialise(candidates(now, low, low * PIVOTS), "pairs")
+            found = materialise(candidates(known(large), low, low * PIVOTS), "pairs")
             if not found.isEmpty():
                 edges = materialise(edges.unionByName(similar(single, found, size)), "edges")
             low *= PIVOTS
