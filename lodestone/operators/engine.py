@@ -54,6 +54,7 @@ class Engine:
     def register(self, name: str, source: DataFrame | str, key: str | None = None) -> Engine:
         """A table from a DataFrame or a Parquet path; ``key`` names its row id."""
         df = self.spark.read.parquet(source) if isinstance(source, str) else source
+        self._forget()
         df.createOrReplaceTempView(name)
         self.views[name] = df
         if key:
@@ -69,6 +70,7 @@ class Engine:
     register_layer = register
 
     def unregister(self, name: str) -> bool:
+        self._forget()
         self.views.pop(name, None)
         return self.spark.catalog.dropTempView(name)
 
@@ -87,9 +89,9 @@ class Engine:
 
     # queries -----------------------------------------------------------------------------------------------------
     def sql(self, text: str, params: dict | None = None) -> DataFrame:
-        """Run dialect SQL. ``CACHED`` keeps the result for the same text and parameters; ``DIRECT`` and ``JIT`` are the normal path."""
+        """Run dialect SQL. ``CACHED`` keeps the result for the same text and parameters until a table is registered or dropped; ``DIRECT`` and ``JIT`` are the normal path."""
         found = rewrite(text, self.keys)
-        known = (found.sql, tuple(sorted((params or {}).items())))
+        known = (found.sql, tuple((k, type(v).__name__, repr(v)) for k, v in sorted((params or {}).items())))
         if found.hint == "CACHED" and known in self.cached:
             return self.cached[known]
         df = self.spark.sql(found.sql, args=params) if params else self.spark.sql(found.sql)
@@ -97,6 +99,12 @@ class Engine:
             self.cached[known] = df = df.cache()
         return df
 
+    def _forget(self) -> None:
+        """Drop the kept results: a table that they read changes."""
+        for df in self.cached.values():
+            df.unpersist()
+        self.cached.clear()
+
     def table(self, name: str) -> Query:
         return Query(self.spark.table(name), key=self.keys.get(name))
 

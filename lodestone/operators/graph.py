@@ -254,4 +254,4 @@ class GraphWriter:
     def remove(self, *keys) -> GraphWriter:
         """Delete nodes with all their edges."""
         one = self.unlink(F.col("source_key").isin(list(keys)) | F.col("target_key").isin(list(keys)))
-        return one._after(("remove", "node"), nodes=self.graph.nodes.filter(~F.col("key").isin(list(keys))))
+        return one._after(("remove", "node"), nodes=self.graph.nodes.filter(~F.coalesce(F.col("key").isin(list(keys)), F.lit(False))))

@@ -15,16 +15,34 @@ INTEGER, REAL, TEXT = "bigint", "double", "string"
 
 
 # CSV ----------------------------------------------------------------------------------------------------------------
+#: What an integer and a real cell look like.
+_INTEGER, _REAL = r"[+-]?\d{1,18}", r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?"
+
+
 def infer_type(values: list[str]) -> str:
     """The narrowest of integer, real and text that all non-empty values fit."""
     seen = [v for v in values if v not in (None, "")]
-    if seen and all(re.fullmatch(r"[+-]?\d{1,18}", v) for v in seen):
+    if seen and all(re.fullmatch(_INTEGER, v) for v in seen):
         return INTEGER
-    if seen and all(re.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", v) for v in seen):
+    if seen and all(re.fullmatch(_REAL, v) for v in seen):
         return REAL
     return TEXT
 
 
+def typed(df: DataFrame, names: list[str], columns: list[str]) -> DataFrame:
+    """``df``'s text columns ``columns`` as ``names``, each of the narrowest type that all its values fit: no value is lost.
+
+    One pass over the rows finds the types. Blank cells are NULL in numbers.
+    """
+    if not columns:
+        return df
+    cell = {c: F.trim(F.col(f"`{c}`")) for c in columns}
+    fits = lambda c, rx: F.coalesce(F.min(F.when(F.length(cell[c]) > 0, cell[c].rlike(f"^(?:{rx})$").cast("int"))), F.lit(0))
+    told = df.agg(*[x.alias(f"{k}{i}") for i, c in enumerate(columns) for k, x in (("i", fits(c, _INTEGER)), ("r", fits(c, _REAL)))]).first()
+    kinds = [INTEGER if told[f"i{i}"] else REAL if told[f"r{i}"] else TEXT for i in range(len(columns))]
+    return df.select(*[(F.col(f"`{c}`") if k == TEXT else cell[c].try_cast(k)).alias(n) for n, c, k in zip(names, columns, kinds)])
+
+
 def csv_schema(sample: str, sep: str = ",", header: bool = True, rows: int = 100) -> list[tuple[str, str]]:
     """(name, type) of the columns, from the first ``rows`` rows of ``sample``."""
     found = list(csv.reader(io.StringIO(sample), delimiter=sep))
@@ -36,12 +54,15 @@ def csv_schema(sample: str, sep: str = ",", header: bool = True, rows: int = 100
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",", header: bool = True, max_rows: int | None = None) -> DataFrame:
-    """A CSV file or folder of them; types come from the first 100 rows, values that do not fit and short rows give NULL."""
-    head = "\n".join(r[0] for r in spark.read.text(path).limit(101).collect())
-    schema = csv_schema(head, sep, header)
-    ddl = ", ".join(f"`{n}` {t}" for n, t in schema)
-    df = spark.read.csv(path, schema=ddl, sep=sep, header=header, quote='"', escape='"', multiLine=True, mode="PERMISSIVE")
-    return df if max_rows is None else df.limit(max_rows)
+    """A CSV file or folder of files with one header, quoted line ends included.
+
+    A column gets the narrowest type that all its values fit, found by a pass
+    over the files; short rows are filled with NULL.
+    """
+    df = spark.read.csv(path, sep=sep, header=header, quote='"', escape='"', multiLine=True, mode="PERMISSIVE", enforceSchema=True)
+    names = [(c.strip() if header and not re.fullmatch(r"_c\d+", c) else "") or f"column{k + 1}" for k, c in enumerate(df.columns)]
+    out = typed(df, names, df.columns)
+    return out if max_rows is None else out.limit(max_rows)
 
 
 def sheet_csv_url(url: str) -> str:
@@ -126,8 +147,7 @@ def read_sheet(spark: SparkSession, path: str, sheet: str | None = None, header:
     names = [(r["col"], (r["value"] if header else None) or f"column{r['col']}") for r in top]
     body = cells.filter("row > 1") if header else cells
     rows = body.groupBy("row").pivot("col", [c for c, _ in names]).agg(F.first("value"))
-    sample = rows.orderBy("row").limit(100).collect()
-    return rows.select(*[F.col(str(c)).try_cast(infer_type([r[str(c)] for r in sample])).alias(n) for c, n in names])
+    return typed(rows, [n for _, n in names], [str(c) for c, _ in names])
 
 
 def _per_file(spark: SparkSession, path: str, parse, ddl: str) -> DataFrame:

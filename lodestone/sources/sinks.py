@@ -1,7 +1,9 @@
-"""Tables that can be changed: a folder of Parquet versions with a pointer to the current one.
+"""Tables that can be changed: folders of Parquet files and numbered commits that list them.
 
-A change writes a new version and then moves the pointer, in one rename; readers
-see the old version or the new one. Nothing is updated in place.
+A change writes a new folder and then creates the commit after the one it read,
+which only one writer can; a second one gets an error and loses nothing. A
+commit counts once its content is there, so readers see the state before or
+after. Nothing is updated in place, and an insert writes its own rows only.
 """
 
 from __future__ import annotations
@@ -11,99 +13,153 @@ import time
 import uuid
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Bytes of a file that vacuum aims at.
+FILE_BYTES = 256 << 20
+
+
+class ConflictError(RuntimeError):
+    """Another writer has committed since this one read the table."""
+
 
 class MutableTable:
     """A table in ``path`` with the key column ``key``."""
 
     def __init__(self, spark: SparkSession, path: str, key: str):
         self.spark, self.path, self.key = spark, path.rstrip("/"), key
-        jvm = spark.sparkContext._jvm
-        self._P = jvm.org.apache.hadoop.fs.Path
+        self._jvm = spark.sparkContext._jvm
+        self._P = self._jvm.org.apache.hadoop.fs.Path
         self._fs = self._P(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self.observers: list = []
 
-    # versions ----------------------------------------------------------------------------------------------------
-    def _version(self) -> str | None:
-        at = self._P(f"{self.path}/CURRENT")
+    # commits -----------------------------------------------------------------------------------------------------
+    def _latest(self) -> tuple[int, dict | None]:
+        """The number of the last commit, and the content of the last one that has it."""
+        at = self._P(f"{self.path}/_commits")
         if not self._fs.exists(at):
-            return None
-        return self.spark.read.text(f"{self.path}/CURRENT").first()[0]
-
-    def _point(self, version: str) -> None:
-        tmp = self._P(f"{self.path}/_tmp-{uuid.uuid4().hex}")
-        out = self._fs.create(tmp, True)
-        out.writeBytes(version)
+            return 0, None
+        found = sorted((int(s.getPath().getName()), s.getLen()) for s in self._fs.listStatus(at) if s.getPath().getName().isdigit())
+        whole = [n for n, size in found if size]
+        content = None
+        if whole:
+            source = self._fs.open(self._P(f"{self.path}/_commits/{whole[-1]:020d}"))
+            try:
+                content = json.loads(bytes(source.readAllBytes()).decode())
+            finally:
+                source.close()
+        return (found[-1][0] if found else 0), content
+
+    def _create(self, number: int, content: dict) -> None:
+        at = self._P(f"{self.path}/_commits/{number:020d}")
+        self._fs.mkdirs(at.getParent())
+        try:
+            if self._fs.getScheme() == "file":  # Hadoop's local file system looks and then creates
+                self._jvm.java.nio.file.Files.createFile(self._jvm.java.io.File(at.toUri().getPath()).toPath(), self.spark.sparkContext._gateway.new_array(self._jvm.java.nio.file.attribute.FileAttribute, 0))
+                out = self._fs.create(at, True)
+            else:
+                out = self._fs.create(at, False)
+        except Py4JJavaError as e:
+            if self._fs.exists(at):
+                raise ConflictError(f"commit {number} of {self.path} is another writer's") from e
+            raise
+        out.write(json.dumps(content).encode())
         out.close()
-        target = self._P(f"{self.path}/CURRENT")
-        self._fs.delete(target, False)
-        self._fs.rename(tmp, target)
-
-    def commit(self, df: DataFrame, kind: str = "write") -> MutableTable:
-        """Make ``df`` the table's new version; observers hear of it after the pointer moved."""
-        version = f"v{time.time_ns()}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(f"{self.path}/{version}")
-        self._point(version)
+
+    def commit(self, df: DataFrame, kind: str = "write", after: int | None = None, folders: list[str] | None = None) -> MutableTable:
+        """Make ``df``, beside the rows of ``folders``, the table's state after commit ``after`` (the last one, unless given)."""
+        if after is None:
+            after = self._latest()[0]
+        new = f"v{time.time_ns()}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(f"{self.path}/{new}")
+        try:
+            self._create(after + 1, {"schema": json.loads(df.schema.json()), "folders": [*(folders or []), new]})
+        except ConflictError:
+            self._fs.delete(self._P(f"{self.path}/{new}"), True)
+            raise
         for f in self.observers:
             f(kind, self)
         return self
 
-    def read(self) -> DataFrame:
-        version = self._version()
-        if version is None:
+    def _state(self) -> tuple[int, list[str], DataFrame]:
+        """The last commit's number, its folders and the rows."""
+        number, content = self._latest()
+        if content is None:
             raise FileNotFoundError(f"no table in {self.path}")
-        return self.spark.read.parquet(f"{self.path}/{version}")
+        schema = T.StructType.fromJson(content["schema"])
+        return number, content["folders"], self.spark.read.schema(schema).parquet(*[f"{self.path}/{x}" for x in content["folders"]])
+
+    def read(self) -> DataFrame:
+        return self._state()[2]
 
     # rows --------------------------------------------------------------------------------------------------------
     def create(self, schema: str | T.StructType, if_not_exists: bool = False) -> MutableTable:
-        if self._version() is not None:
+        number, content = self._latest()
+        if content is not None:
             if if_not_exists:
                 return self
             raise FileExistsError(self.path)
-        return self.commit(self.spark.createDataFrame([], schema), "create")
+        return self.commit(self.spark.createDataFrame([], schema), "create", number)
 
     def insert(self, rows: DataFrame) -> MutableTable:
-        return self.commit(self.read().unionByName(rows), "insert")
+        """Add ``rows``, which have the table's columns in any order; only they are written."""
+        number, folders, now = self._state()
+        same = now.limit(0).unionByName(rows)
+        return self.commit(same.select(*[F.col(f.name).cast(f.dataType) for f in now.schema]), "insert", number, folders)
 
     def update(self, rows: DataFrame) -> MutableTable:
         """Replace the rows whose key is there; others are ignored."""
-        now = self.read()
+        number, _, now = self._state()
         hit = rows.join(now.select(self.key), self.key, "left_semi")
-        return self.commit(now.join(rows.select(self.key), self.key, "left_anti").unionByName(hit), "update")
+        return self.commit(now.join(rows.select(self.key), self.key, "left_anti").unionByName(hit), "update", number)
 
     def upsert(self, rows: DataFrame) -> MutableTable:
-        return self.commit(upsert(self.read(), rows, self.key), "upsert")
+        number, _, now = self._state()
+        return self.commit(upsert(now, rows, self.key), "upsert", number)
 
     def delete(self, *keys) -> MutableTable:
-        return self.commit(self.read().filter(~F.col(self.key).isin(list(keys))), "delete")
+        """Delete the rows of these keys; a row without a key stays."""
+        number, _, now = self._state()
+        return self.commit(delete_where(now, F.col(self.key).isin(list(keys))), "delete", number)
 
     def delete_where(self, condition: Column) -> int:
         """Delete the rows where ``condition`` is true; returns their number."""
-        now = self.read()
+        number, _, now = self._state()
         n = now.filter(condition).count()
-        self.commit(delete_where(now, condition), "delete")
+        self.commit(delete_where(now, condition), "delete", number)
         return n
 
     # schema ------------------------------------------------------------------------------------------------------
     def add_column(self, name: str, kind: str, default=None) -> MutableTable:
-        return self.commit(self.read().withColumn(name, F.lit(default).cast(kind)), "alter")
+        number, _, now = self._state()
+        return self.commit(now.withColumn(name, F.lit(default).cast(kind)), "alter", number)
 
     def rename_to(self, path: str) -> MutableTable:
-        self._fs.rename(self._P(self.path), self._P(path))
+        if not self._fs.rename(self._P(self.path), self._P(path)):
+            raise OSError(f"{self.path} can't become {path}")
         return MutableTable(self.spark, path, self.key)
 
+    def drop(self) -> bool:
+        """Delete the table with all its versions; False where there is none."""
+        return bool(self._fs.delete(self._P(self.path), True))
+
     # upkeep ------------------------------------------------------------------------------------------------------
-    def vacuum(self, files: int = 1) -> MutableTable:
-        """Rewrite into ``files`` files and delete the older versions."""
-        self.commit(self.read().coalesce(files), "vacuum")
-        keep = self._version()
+    def vacuum(self, files: int | None = None) -> MutableTable:
+        """Rewrite into ``files`` files (by default of some FILE_BYTES each) and delete the older versions."""
+        number, folders, now = self._state()
+        if files is None:
+            files = 1 + sum(self._fs.getContentSummary(self._P(f"{self.path}/{x}")).getLength() for x in folders) // FILE_BYTES
+        self.commit(now.coalesce(files), "vacuum", number)
+        number, folders, _ = self._state()
         for s in self._fs.listStatus(self._P(self.path)):
-            name = s.getPath().getName()
-            if name.startswith("v") and name != keep:
+            if s.getPath().getName().startswith("v") and s.getPath().getName() not in folders:
                 self._fs.delete(s.getPath(), True)
+        for s in self._fs.listStatus(self._P(f"{self.path}/_commits")):
+            if s.getPath().getName().isdigit() and int(s.getPath().getName()) < number:
+                self._fs.delete(s.getPath(), False)
         return self
 
     def max_key(self):
@@ -115,9 +171,10 @@ class MutableTable:
     @contextmanager
     def transaction(self):
         """Changes to a frame that become one version at the end, or none at all after an error."""
-        staged = Staged(self.read(), self.key)
+        number, _, now = self._state()
+        staged = Staged(now, self.key)
         yield staged
-        self.commit(staged.df, "transaction")
+        self.commit(staged.df, "transaction", number)
 
 
 class Staged:

@@ -242,6 +242,17 @@ def test_csv(spark, tmp_path):
     assert readers.sheet_csv_url("https://docs.google.com/spreadsheets/d/AbC/edit#gid=7").endswith("AbC/export?format=csv&gid=7")
 
 
+def test_csv_loses_no_value(spark, tmp_path):
+    """A value that fits no number after many that do, quoted line ends in the header and in cells, a folder of files."""
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "1.csv").write_text('id,"two\nlines",n\n' + "".join(f'{k},"x\ny",{k}\n' for k in range(300)) + "x7,,2.5\n")
+    (tmp_path / "a" / "2.csv").write_text('id,"two\nlines",n\n  999 ,z, 4 \n')
+    df = readers.read_csv(spark, str(tmp_path / "a"))
+    assert dict(df.dtypes) == {"id": "string", "two\nlines": "string", "n": "double"} and df.count() == 302
+    assert df.filter("id = 'x7'").first()["n"] == 2.5 and df.filter("trim(id) = '999'").first()["n"] == 4.0
+    assert df.filter("n = 7").first()["two\nlines"] == "x\ny"
+
+
 def test_workbook(spark, tmp_path):
     s = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
     r = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -334,3 +345,28 @@ def test_running_reputation(spark, tmp_path):
     q.stop()
     r = spark.sql("SELECT * FROM rep").first()
     assert (r.alpha, r.beta) == (1.5, 2.0)
+
+
+def test_writers_that_meet(spark, tmp_path):
+    """Of two changes to one state the second fails and leaves the first; an unfinished commit is no version."""
+    t = sinks.MutableTable(spark, str(tmp_path / "t"), "id").create("id long, v string")
+    new = lambda *r: spark.createDataFrame(list(r), "id long, v string")
+    t.insert(new((1, "a"), (None, "n")))
+    with pytest.raises(sinks.ConflictError), t.transaction() as tx:
+        tx.insert(new((2, "b")))
+        sinks.MutableTable(spark, t.path, "id").insert(new((3, "c")))
+    assert rows(t.read().filter("id is not null")) == [(1, "a"), (3, "c")]
+    assert t.delete(3).read().filter("id is null").count() == 1 and t.row_count() == 2  # a row without a key stays
+    number = t._latest()[0]
+    (tmp_path / "t" / "_commits" / f"{number + 1:020d}").touch()
+    assert t.row_count() == 2 and t.insert(new((4, "d"))).row_count() == 3
+    assert t.vacuum().row_count() == 3 and t.drop() and not t.drop()
+
+
+def test_kept_results_follow_their_tables(spark):
+    e = Engine(spark).register("kept_t", spark.range(3))
+    assert e.sql("CACHED SELECT count(*) AS n FROM kept_t").first()[0] == 3
+    e.register("kept_t", spark.range(9))
+    assert e.sql("CACHED SELECT count(*) AS n FROM kept_t").first()[0] == 9
+    one, true = (e.sql("CACHED SELECT $x AS x", {"x": x}) for x in (1, True))
+    assert one.dtypes != true.dtypes
