@@ -444,13 +444,13 @@ def velocity_window(spark, sf):
     return analysis.velocity(e, "user_id", "us", 86400).select("event_id", "in_window")
 
 
-@_query()
+@_query("WITH RECURSIVE v AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN CURRENT ROW AND 259200000000 FOLLOWING) AS c FROM events), f AS (SELECT * FROM v WHERE c > 2), g AS (SELECT f.*, (SELECT min(x.n) FROM f x WHERE x.user_id = f.user_id AND x.n >= f.n + f.c) AS next FROM f), r AS (SELECT * FROM (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n) = 1) UNION ALL SELECT g.* FROM r JOIN g ON g.user_id = r.user_id AND g.n = r.next) SELECT user_id AS agent, t AS start, c AS count FROM r")
 def velocity_spikes(spark, sf):
     e = t(spark, sf, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
     return analysis.velocity_spikes(e, "user_id", "us", 86400 * 3, 2)
 
 
-@_query()
+@_query("WITH e AS (SELECT event_id + 1 AS s, CASE WHEN event_id % 100 < 40 THEN 'p' || (event_id % 2) ELSE CAST(user_id AS VARCHAR) END AS x FROM events), n AS (SELECT s, x, lag(x) OVER (ORDER BY s) AS p1, lag(x, 2) OVER (ORDER BY s) AS p2 FROM e), g AS (SELECT s, s - row_number() OVER (ORDER BY s) AS island FROM n WHERE x = p2 AND x <> p1), r AS (SELECT min(s) - 2 AS first_seq, count(*) + 2 AS n FROM g GROUP BY island) SELECT first_seq, a.x AS a, b.x AS b, n // 2 AS cycles FROM r JOIN e a ON a.s = first_seq JOIN e b ON b.s = first_seq + 1 WHERE n >= 6")
 def ping_pong(spark, sf):
     e = t(spark, sf, "events").select((F.col("event_id") + 1).alias("seq"), F.when(F.col("event_id") % 100 < 40, F.concat(F.lit("p"), F.col("event_id") % 2)).otherwise(F.col("user_id").cast("string")).alias("agent"))
     return analysis.ping_pong(e, "seq", "agent")
@@ -558,6 +558,7 @@ def tumbling_counts(spark, sf):
     return changes.tumbling(t(spark, sf, "events"), "ts", "1 day", "event_type").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@_query()
+@_query("SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS n FROM (SELECT *, sum(CAST(begins AS INT)) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 6 HOUR, TRUE) AS begins FROM events)) GROUP BY user_id, s")
 def session_counts(spark, sf):
-    return changes.sessions(t(spark, sf, "events"), "ts", "6 hours", "user_id")
+    out = changes.sessions(t(spark, sf, "events"), "ts", "6 hours", "user_id")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
