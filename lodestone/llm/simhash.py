@@ -3,8 +3,8 @@
 Fingerprints of 64 bits link at ``radius`` differing bits or fewer. Two trees
 partition the distinct fingerprints by Hamming distance, one over each half of
 the bits, because two linked fingerprints differ by ``radius // 2`` bits at
-most in one half. A tree's levels have vantage points on disjoint masks of its
-half. Distances on disjoint masks add up, so by the triangle inequality the
+most in one half. A tree's levels have vantage points, fingerprints of the data, each
+seen through a mask of its own in that half. Distances on disjoint masks add up, so by the triangle inequality the
 distance vectors of two fingerprints linked in that half differ by
 ``radius // 2`` in sum at most: with 3 bits, by one step at one level or not at
 all. A leaf is a distance vector. Every fingerprint has one home leaf and is
@@ -26,8 +26,6 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import bound_batches, discard, free_name, light, materialise, table, tidied
 
-#: The vantage points of both halves, 32 bits each.
-VANTAGE = (0x5A3C96E1, 0xC35A6978)
 #: Groups of up to this size are compared by offset, larger ones by flooding.
 SMALL_GROUP = 96
 
@@ -69,16 +67,26 @@ def fingerprints(docs: DataFrame, key: str, text: str, size: int = 3) -> DataFra
 
 def mask_bits(fingerprints_in_all: int) -> int:
     """Bits of a level's mask: fewer, and so more levels, for more fingerprints. Leaves stay small; results don't change."""
-    return 4 if fingerprints_in_all < 50_000_000 else 2 if fingerprints_in_all < 5_000_000_000 else 1
+    return 4 if fingerprints_in_all < 50_000_000 else 2
 
 
-def routed(fps: np.ndarray, bits: int):
+def vantage_points(prints: DataFrame, bits: int) -> int:
+    """The bits of all levels' vantage points: each level looks through its mask at a fingerprint of its own from ``prints`` (fp)."""
+    levels = 64 // bits
+    found = [r["fp"] for r in prints.orderBy(F.xxhash64("fp"), "fp").limit(levels).collect()] or [0]
+    seen = 0
+    for k in range(levels):
+        seen |= found[k % len(found)] & (((1 << bits) - 1) << (k * bits))
+    return seen
+
+
+def routed(fps: np.ndarray, bits: int, vantage: int = 0):
     """Rows (leaf uint64, at home, position in ``fps``) of both trees, for radius 2 or 3."""
     leaves, home, where = [], [], []
     levels = 32 // bits
     base = bits + 1
     for half in range(2):
-        away = ((fps >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)) ^ np.uint64(VANTAGE[half])
+        away = ((fps ^ np.uint64(vantage)) >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)
         code = np.full(len(fps), half, dtype=np.uint64)
         steps = []
         for level in range(levels):
@@ -190,11 +198,13 @@ def linked(reps: DataFrame, radius: int, bits: int) -> DataFrame:
     if radius not in (2, 3):
         raise ValueError("the trees prune for a radius of 2 or 3")
 
+    vantage = vantage_points(reps, bits)
+
     def route(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 50_000):
                 fps, rep = (batch.column(k).slice(at, 50_000).to_numpy() for k in range(2))
-                leaf, home, where = routed(fps.view(np.uint64), bits)
+                leaf, home, where = routed(fps.view(np.uint64), bits, vantage)
                 yield pa.RecordBatch.from_arrays([pa.array(leaf.view(np.int64)), pa.array(~home), pa.array(fps[where]), pa.array(rep[where])], ["leaf", "away", "fp", "rep"])
 
     def link(batches):
@@ -244,18 +254,21 @@ def near_duplicates(docs: DataFrame, key: str, text: str, size: int = 3, radius:
 
     Rows of one id are one document: they link what either is linked to. Rows
     with a null id are named by the component of their fingerprint (null if all
-    that have it have no id) and link nothing. Texts without words share the
-    fingerprint zero. Other columns are ignored.
+    that have it have no id) and link nothing. Ids may be of any type that has
+    an order. Texts without words share the fingerprint zero. Other columns are
+    ignored; an empty table gives an empty one.
     """
     prints = materialise(fingerprints(docs, key, text, size), "fingerprints")
     reps = materialise(prints.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
-    edges = linked(reps.select("fp", F.col("rep").cast("long").alias("rep")), radius, mask_bits(reps.count()))
+    # links and their components are between fingerprints; names come last
+    edges = linked(reps.select("fp", F.col("fp").alias("rep")), radius, mask_bits(reps.count()))
     # rows of one id with several fingerprints tie those together
-    many = prints.filter("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).filter("x <> y").select("doc_id")
-    ties = prints.join(many, "doc_id").select("doc_id", "fp").distinct().join(reps, "fp").select(F.col("rep").cast("long").alias("a"), F.col("doc_id").cast("long").alias("b"))
+    many = prints.filter("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a <> b").select("doc_id", "a")
+    ties = prints.join(many, "doc_id").select("a", F.col("fp").alias("b")).distinct()
     found = components(edges.unionByName(ties))
-    classes = reps.withColumn("rep", F.col("rep").cast("long")).join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    classes = materialise(classes, "classes")
+    sets = reps.join(found, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("set"))
+    names = sets.groupBy("set").agg(F.min("rep").alias("component_id"))
+    classes = materialise(sets.join(names, "set").select("fp", "component_id"), "classes")
     return prints.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 

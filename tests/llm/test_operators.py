@@ -125,13 +125,22 @@ def test_trees_lose_no_link(bits):
     rng = np.random.default_rng(bits)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
     fps = np.unique(np.concatenate([base, *[x ^ (np.uint64(1) << rng.integers(0, 64, 30, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 30, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 30, dtype=np.uint64)) for x in base]]))
-    leaf, home, where = simhash.routed(fps, bits)
+    leaf, home, where = simhash.routed(fps, bits, int(fps[0] ^ fps[-1]))
     order = np.lexsort((~home, leaf))
     a, b = simhash.stars(leaf[order], home[order], fps[where][order], where[order].astype(np.int64), 3)
     links = [(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if int(fps[i] ^ fps[j]).bit_count() <= 3]
     assert brute.components(range(len(fps)), list(zip(a.tolist(), b.tolist()))) == brute.components(range(len(fps)), links)
 
 
+def test_simhash_with_text_ids(spark, docs):
+    some = [(f"d{i:07d}", t) for i, t in docs[:120]] + [(None, "a b c"), ("d0000001", "a b c"), ("x", "a b c")]
+    seen = simhash.near_duplicates(spark.createDataFrame(some, "doc_id string, text string"), "doc_id", "text").collect()
+    assert len(seen) == 123 and {r.component_id for r in seen if r.fp == simhash.fingerprint(b"a b c") - (1 << 64) * (simhash.fingerprint(b"a b c") >> 63)} == {min(r.component_id for r in seen if r.doc_id == "d0000001")}
+    plain = brute.simhash(docs[:120])
+    whole = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame([(f"d{i:07d}", t) for i, t in docs[:120]], "doc_id string, text string"), "doc_id", "text").collect()}
+    assert whole == {f"d{i:07d}": f"d{c:07d}" for i, (_, c) in plain.items()}
+
+
 def test_flood_and_chains(spark):
     rng = np.random.default_rng(1)
     center = np.uint64(0x123456789ABCDEF0)
@@ -338,6 +347,45 @@ def test_decontamination_cases(spark, odd, nothing, monkeypatch):
     assert set(decontamination.decontaminate(odd, bench).columns) == set(odd.columns)
 
 
+def _brute_longest(text, items, width=10):
+    """{run start: greatest length of a verbatim match in it}, by comparing every place with every item's every place."""
+    w = brute.BENCH.findall(brute.low(text))
+    best = {}
+    for _, t in items:
+        b = brute.BENCH.findall(brute.low(t))
+        for i in range(len(w)):
+            for k in range(len(b)):
+                n = 0
+                while i + n < len(w) and k + n < len(b) and w[i + n] == b[k + n]:
+                    n += 1
+                if n >= min(width, len(b)) and n and (len(b) >= width or n == len(b)):
+                    best[i] = max(best.get(i, 0), n)
+    return best
+
+
+def test_longest_matches_and_text_ids(spark):
+    """Overlapping, repeating and shared passages; ids that are texts; a short item that very many share."""
+    rng = random.Random(9)
+    word = lambda: rng.choice("abcde")
+    items = [(f"i{k}", " ".join(word() for _ in range(rng.randrange(1, 40)))) for k in range(30)]
+    texts = [" ".join([*(word() for _ in range(30)), *rng.choice(items)[1].split()[rng.randrange(3) :], *(word() for _ in range(20))]) for _ in range(40)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    windows = brute.windows(items, 4)
+    for r in decontamination.find_matches(docs, bench, "text", "item_id", "text", ["doc_id"], width=4).collect():
+        n, hit, n_items, _ = brute.contamination(texts[r.doc_id], windows)
+        assert (r.n_words, sum(s["end"] - s["start"] for s in r.spans), len(r["items"])) == (n, hit, n_items)
+        best = _brute_longest(texts[r.doc_id], items, 4)
+        w, by_name = texts[r.doc_id].split(), dict(items)
+        for s in r.spans:
+            assert s["match_words"] == max(m for i, m in best.items() if s["start"] <= i < s["end"])
+            found = by_name[s["item"]].split()[s["item_start"] : s["item_start"] + s["match_words"]]
+            assert w[s["match_start"] : s["match_start"] + s["match_words"]] == found
+    many = spark.createDataFrame([(k, "gamma") for k in range(2000)], "item_id long, text string")
+    (r,) = decontamination.find_matches(spark.createDataFrame([(1, "gamma x " * 10_000)], "doc_id long, text string"), many, "text", "item_id", "text", ["doc_id"]).collect()
+    assert len(r.spans) == 10_000 and r["items"] == list(range(2000))
+
+
 # 9 secrets ----------------------------------------------------------------------------------------------------------
 def test_secrets(spark, docs, odd, nothing):
     found = {r.doc_id: r.base_sha256 for r in registry.queries()["op9_secret_scans"](spark, SF).collect()}
