@@ -70,6 +70,19 @@ def _cut(start: int, end: int, step: int) -> list[list]:
     return [[a, min(a + 2 * step, end), None] for a in range(start, max(end - step, start + 1), step)]
 
 
+def _batches(places: list[int], words: list[bytes]):
+    """``places`` of words in runs of QUERY_BYTES."""
+    held, size = [], 0
+    for k in places:
+        held.append(k)
+        size += len(words[k])
+        if size >= QUERY_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 class Codec:
     """Encodes and decodes with one DuckDB connection. ``ranks_file``: lines of a base64 token and its rank, which is its id."""
 
@@ -103,10 +116,10 @@ class Codec:
         self.known: dict[str, bytes] = {}
         self.known_bytes = 0
 
-    def fixpoint(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of each word, by recursive queries until every word is at its fixpoint."""
+    def fixpoint(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after another, and where each word's begin, by recursive queries until every word is at its fixpoint."""
         raw = np.frombuffer(b"".join(words), dtype=np.uint8)
-        sizes = np.array([len(x) for x in words])
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         starts = np.cumsum(sizes) - sizes
         w = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
         pos, tok = (np.arange(len(raw)) - starts[w]).astype(np.int32), self.byte[raw]
@@ -122,28 +135,30 @@ class Codec:
             done.append([out[c].to_numpy()[flags] for c in ("w", "pos", "tok")])
             left = out.filter(pc.invert(out["done"])).drop_columns("done")
         w, pos, tok = (np.concatenate(x) for x in zip(*done))
-        order = np.lexsort((pos, w))
-        return np.split(tok[order].astype("<u4"), np.searchsorted(w[order], np.arange(1, len(words))))
-
-    def contract(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of each word: short ones at once, long ones by segments."""
-        segments = [[[0, len(x), None]] if len(x) <= 2 * STEP else _cut(0, len(x), STEP) for x in words]
+        order = np.argsort(w.astype(np.int64) << 32 | pos)
+        return tok[order].astype("<u4"), np.searchsorted(w[order], np.arange(len(words) + 1))
+
+    def contract(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word as little-endian integers: short words at once, long ones by segments."""
+        out: list = [None] * len(words)
+        for some in _batches([k for k, x in enumerate(words) if len(x) <= 2 * STEP], words):
+            ids, first = self.fixpoint([words[k] for k in some])
+            raw, first = ids.tobytes(), (4 * first).tolist()
+            for k, a, b in zip(some, first, first[1:]):
+                out[k] = raw[a:b]
+        long = {k: _cut(0, len(x), STEP) for k, x in enumerate(words) if len(x) > 2 * STEP}
         turn = 0
-        while True:
-            todo = [(s, words[k][s[0] : s[1]]) for k, own in enumerate(segments) for s in own if s[2] is None]
-            if not todo:
-                break
-            held, size = [], 0
-            for n, (s, part) in enumerate(todo):
-                held.append((s, part))
-                size += len(part)
-                if size >= QUERY_BYTES or n == len(todo) - 1:
-                    for (s, _), ids in zip(held, self.fixpoint([x for _, x in held])):
-                        s[2] = ids
-                    held, size = [], 0
-            segments = [own if len(own) == 1 else self.joined(own, turn) for own in segments]
+        while long:
+            todo = [(s, words[k][s[0] : s[1]]) for k, own in long.items() for s in own if s[2] is None]
+            for some in _batches(list(range(len(todo))), [x for _, x in todo]):
+                ids, first = self.fixpoint([todo[k][1] for k in some])
+                for k, a, b in zip(some, first, first[1:]):
+                    todo[k][0][2] = ids[a:b]
+            long = {k: self.joined(own, turn) if len(own) > 1 else own for k, own in long.items()}
+            for k in [k for k, own in long.items() if len(own) == 1 and own[0][2] is not None]:
+                out[k] = long.pop(k)[0][2].tobytes()
             turn += 1
-        return [own[0][2] for own in segments]
+        return out
 
     def joined(self, own: list[list], turn: int) -> list[list]:
         """A word's overlapping segments (start, end, ids) joined; where two have no token in common, with new ones, yet without ids."""
@@ -201,7 +216,7 @@ class Codec:
                     self.known[x] = rank.to_bytes(4, "little")
         self.known_bytes += sum(map(len, new))
         for word, ids in zip(new, self.contract([x.encode() for x in new])):
-            self.known[word] = ids.tobytes()
+            self.known[word] = ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
