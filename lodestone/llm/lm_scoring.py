@@ -9,12 +9,12 @@ cost to write down. Distributions are smoothed toward the suffix's. A text's
 probability is the product over its bytes, each predicted from the longest
 retained suffix of what is before it, and within its class by the class's byte
 counts. Known words are more than their last symbols tell, so each token's
-probability mixes the tree's, at ``TREE_SHARE``, with one over known tokens: a
+probability mixes the tree's, at ``tree_share``, with one over known tokens: a
 second tree, whose symbols are classes of words (first and last symbol) and
 whose contexts are the class before, times the token's share of its class. Both
 sum to one over all tokens, and so does the mixture.
 
-Word counts cover the whole corpus. Each input chunk sends its distinct words
+Word counts cover the whole corpus. Each chunk of the input sends its distinct words
 (as 64-bit hashes) with counts, and gets back the corpus counts of just those.
 """
 
@@ -25,14 +25,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialise, table
+from lodestone.llm.common import bound_batches, materialise, table, tidied
 
 #: Symbol classes of bytes. 0 end, 1 blank, 2-27 letters, 28 digits, 29 stop, 30 comma, 31 other ASCII signs,
 #: 32 controls, 33 the byte C3, 34-36 other lead bytes by length, 37-52 continuation bytes by their low four bits.
 #: Contexts have up to DEPTH symbols; the last DIRECT of them index a table, the ones before follow from state to state.
 SYMBOLS, DEPTH, DIRECT = 53, 6, 4
 CHUNK_BYTES = 2 << 20
+#: The tree's share in a token's probability.
 TREE_SHARE = 0.25
+#: Bytes of text in a chunk, which one task holds with its word table.
+HELD_BYTES = 64 << 20
 #: Classes of tokens: the end, and first and last symbol of a word.
 CLASSES = SYMBOLS * SYMBOLS + 1
 
@@ -113,11 +116,31 @@ def gather(docs: DataFrame) -> DataFrame:
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, dtype=np.int64)
         return keys[first], np.add.reduceat(n, first) if len(first) else n
 
+    def told(chunk, words, grams, pairs, texts, seen):
+        rows = [(0, *merged(words))] if words else []
+        rows += [(1, *merged(grams)), (4, *merged(pairs))] if grams else []
+        rows += [(2, np.flatnonzero(seen), seen[seen > 0]), (3, np.zeros(1, np.int64), np.array([texts]))]
+        for kind, keys, n in rows:
+            for at in range(0, len(keys), 1 << 18):
+                k = keys[at : at + (1 << 18)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(np.full(len(k), chunk, np.int64)), pa.array(k.view(np.int64)), pa.array(n[at : at + (1 << 18)].astype(np.int64))], ["kind", "chunk", "key", "n"])
+
+    def parts(batches):
+        """The batches cut where the chunk changes, and into 2000 rows."""
+        for batch in batches:
+            chunks = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(np.r_[True, chunks[1:] != chunks[:-1], True])
+            for a, b in zip(cuts, cuts[1:]):
+                for at in range(a, b, 2000):
+                    yield int(chunks[a]), batch.slice(at, min(2000, b - at))
+
     def run(batches):
-        words, grams, pairs, texts, chunk = [], [], [], 0, None
-        seen = np.zeros(256, dtype=np.int64)
-        for batch in (b.slice(at, 2000) for b in batches for at in range(0, b.num_rows, 2000)):
-            chunk = batch.column(0)[0].as_py()
+        now = None
+        for chunk, batch in parts(b for b in batches if b.num_rows):
+            if chunk != now:
+                if now is not None:
+                    yield from told(now, words, grams, pairs, texts, seen)
+                now, words, grams, pairs, texts, seen = chunk, [], [], [], 0, np.zeros(256, dtype=np.int64)
             trains = ~batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             raw = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
             texts += int(trains.sum())
@@ -135,17 +158,10 @@ def gather(docs: DataFrame) -> DataFrame:
                     pairs.append(np.unique(np.r_[0, kinds[:-1]] * CLASSES + kinds, return_counts=True))
             if len(words) >= 16:
                 words, grams, pairs = [merged(words)], [merged(x) for x in [grams] if x], [merged(x) for x in [pairs] if x]
-        if chunk is None:
-            return
-        rows = [(0, *merged(words))] if words else []
-        rows += [(1, *merged(grams)), (4, *merged(pairs))] if grams else []
-        rows += [(2, np.flatnonzero(seen), seen[seen > 0]), (3, np.zeros(1, np.int64), np.array([texts]))]
-        for kind, keys, n in rows:
-            for at in range(0, len(keys), 1 << 18):
-                k = keys[at : at + (1 << 18)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(np.full(len(k), chunk, np.int32)), pa.array(k.view(np.int64)), pa.array(n[at : at + (1 << 18)].astype(np.int64))], ["kind", "chunk", "key", "n"])
+        if now is not None:
+            yield from told(now, words, grams, pairs, texts, seen)
 
-    return docs.mapInArrow(run, "kind int, chunk int, key long, n long")
+    return docs.mapInArrow(tidied(run), "kind int, chunk long, key long, n long")
 
 
 class SuffixTree:
@@ -241,7 +257,7 @@ def learn_tree(gathered: DataFrame, p_min: float) -> SuffixTree:
     return SuffixTree(root, levels, byte_counts, (pairs["key"].to_numpy(), pairs["n"].to_numpy()))
 
 
-def score_texts(docs: DataFrame, key: str, text: str, held: Column, p_min: float = 2e-5) -> DataFrame:
+def score_texts(docs: DataFrame, key: str, text: str, held: Column, p_min: float = 2e-5, tree_share: float = TREE_SHARE) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_states) of every row's whole text.
 
     ``held`` marks the rows that nothing is learnt from (null: learnt from).
@@ -249,9 +265,16 @@ def score_texts(docs: DataFrame, key: str, text: str, held: Column, p_min: float
     smoothing over the words known and one unknown; score: the model's.
     Both are log10. Null texts are empty, equal rows count each, other columns
     are ignored. ``docs`` should be a stable input such as a table: it is read
-    twice, and a row that changes its partition between is an error.
+    three times, and a row that changes its partition between is an error.
+    A chunk is a run of rows of a partition, ``HELD_BYTES`` of text by the
+    partitions' mean lengths; a longer text makes a longer one.
     """
-    rows = docs.select(F.col(key).alias("doc_id"), F.spark_partition_id().alias("chunk"), F.coalesce(held, F.lit(False)).alias("held"), F.col(text).alias("text"))
+    bound_batches(docs.sparkSession)
+    mean = docs.groupBy(F.spark_partition_id()).agg(F.avg(F.octet_length(F.coalesce(F.col(text), F.lit("")))).alias("m")).agg(F.max("m")).first()[0]
+    per_chunk = max(1, int(HELD_BYTES / max(1.0, mean or 0.0)))
+    # a row's number in its partition is in the low 33 bits
+    chunk = F.shiftleft(F.spark_partition_id().cast("long"), 32) + F.floor((F.monotonically_increasing_id() % (1 << 33)) / per_chunk)
+    rows = docs.select(F.col(key).alias("doc_id"), chunk.alias("chunk"), F.coalesce(held, F.lit(False)).alias("held"), F.col(text).alias("text"))
     gathered = materialise(gather(rows.select("chunk", "held", "text")), "gathered")
     tree = docs.sparkSession.sparkContext.broadcast(learn_tree(gathered, p_min))
     by_key = Window.partitionBy("key")
@@ -279,9 +302,9 @@ def score_texts(docs: DataFrame, key: str, text: str, held: Column, p_min: float
                 count = np.full(len(h) + len(n), texts, dtype=np.float64)
                 count[np.setdiff1d(np.arange(len(count)), ends - 1, assume_unique=True)] = c[at]
                 tree_log, each = model.score(words, automaton)
-                tree_log += np.log10(TREE_SHARE)
+                tree_log += np.log10(tree_share)
                 with np.errstate(divide="ignore"):
-                    known_log = np.log10(count * (1 - TREE_SHARE)) + each
+                    known_log = np.log10(count * (1 - tree_share)) + each
                 mixed = np.maximum(tree_log, known_log) + np.log10(1 + 10.0 ** -np.abs(tree_log - known_log))
                 for k, values in enumerate((np.log10(count + 1), count > 0, mixed)):
                     sums[k].append(np.add.reduceat(values.astype(np.float64), ends - n - 1))

@@ -263,6 +263,16 @@ def test_scores_prefer_what_was_learnt(spark, odd):
     assert out[9].score / out[9].n_tokens > out[8].score / out[8].n_tokens
 
 
+def test_chunks_change_no_score(spark, docs, monkeypatch):
+    """Many small chunks of few partitions give what one chunk a partition gives."""
+    df = spark.createDataFrame([(i, t, "clash") for i, t in [*docs, (docs[0][0], docs[0][1]), (-1, None)]], "doc_id long, text string, score string").coalesce(2)
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    whole = sorted(map(tuple, lm_scoring.score_texts(df, "doc_id", "text", held).collect()))
+    monkeypatch.setattr(lm_scoring, "HELD_BYTES", 20_000)
+    small = sorted(map(tuple, lm_scoring.score_texts(df, "doc_id", "text", held).collect()))
+    assert len(whole) == len(docs) + 2 and np.allclose(np.array(whole, dtype=float), np.array(small, dtype=float), rtol=1e-9)
+
+
 def test_suffix_tree_is_a_distribution():
     rng = np.random.default_rng(2)
     words = [[bytes(rng.integers(97, 101, 3).tolist()) for _ in range(50)] for _ in range(30)]
