@@ -115,22 +115,27 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Give this process's freed memory back to the system: Python workers live on idle."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def tidied(run):
-    """``run`` for mapInArrow, giving the worker's freed memory back to the system when a partition ends: workers live on idle."""
+    """``run`` for mapInArrow, with :func:`give_back` when a partition ends."""
 
     def whole(batches):
         try:
             yield from run(batches)
         finally:
-            import ctypes
-            import gc
-
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except AttributeError:  # another C library
-                pass
+            give_back()
 
     return whole
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bound_batches, materialise, table, tidied
+from lodestone.llm.common import bound_batches, give_back, materialise, table, tidied
 
 #: Symbol classes of bytes. 0 end, 1 blank, 2-27 letters, 28 digits, 29 stop, 30 comma, 31 other ASCII signs,
 #: 32 controls, 33 the byte C3, 34-36 other lead bytes by length, 37-52 continuation bytes by their low four bits.
@@ -110,6 +110,8 @@ def gather(docs: DataFrame) -> DataFrame:
     """
 
     def merged(parts):
+        if len(parts) == 1:
+            return parts[0]
         keys, n = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
         order = np.argsort(keys)
         keys, n = keys[order], n[order]
@@ -118,7 +120,9 @@ def gather(docs: DataFrame) -> DataFrame:
 
     def told(chunk, words, grams, pairs, texts, seen):
         rows = [(0, *merged(words))] if words else []
+        words.clear()
         rows += [(1, *merged(grams)), (4, *merged(pairs))] if grams else []
+        grams.clear()
         rows += [(2, np.flatnonzero(seen), seen[seen > 0]), (3, np.zeros(1, np.int64), np.array([texts]))]
         for kind, keys, n in rows:
             for at in range(0, len(keys), 1 << 18):
@@ -156,7 +160,7 @@ def gather(docs: DataFrame) -> DataFrame:
                     seen += np.bincount(data[at], minlength=256)
                     kinds = _classes(s[at])[1]
                     pairs.append(np.unique(np.r_[0, kinds[:-1]] * CLASSES + kinds, return_counts=True))
-            if len(words) >= 16:
+            if len(words) >= 5:
                 words, grams, pairs = [merged(words)], [merged(x) for x in [grams] if x], [merged(x) for x in [pairs] if x]
         if now is not None:
             yield from told(now, words, grams, pairs, texts, seen)
@@ -288,8 +292,10 @@ def score_texts(docs: DataFrame, key: str, text: str, held: Column, p_min: float
         model = tree.value
         automaton = model.automaton()
         keys, c = right["key"].to_numpy().view(np.uint64), right["c"].to_numpy()
+        del right
         order = np.argsort(keys)
         keys, c = keys[order], c[order]
+        del order
         sums: list[list[np.ndarray]] = [[], [], [], []]
         for batch in left.to_batches(max_chunksize=2000):
             for _, words in _split([t or b"" for t in batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()]):
@@ -309,6 +315,8 @@ def score_texts(docs: DataFrame, key: str, text: str, held: Column, p_min: float
                 for k, values in enumerate((np.log10(count + 1), count > 0, mixed)):
                     sums[k].append(np.add.reduceat(values.astype(np.float64), ends - n - 1))
                 sums[3].append(n)
+        del keys, c, automaton
+        give_back()
         log_sum, hit, score, n = (np.concatenate(x) for x in sums)
         n_tokens = n + 1
         base = log_sum - n_tokens * np.log10(n_all + distinct + 1.0)
