@@ -31,7 +31,7 @@ from lodestone.llm.common import bound_batches, give_back, materialise, table, t
 #: 32 controls, 33 the byte C3, 34-36 other lead bytes by length, 37-52 continuation bytes by their low four bits.
 #: Contexts have up to DEPTH symbols; the last DIRECT of them index a table, the ones before follow from state to state.
 SYMBOLS, DEPTH, DIRECT = 53, 6, 4
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: The tree's share in a token's probability.
 TREE_SHARE = 0.25
 #: Bytes of text in a chunk, which one task holds with its word table.
@@ -160,7 +160,7 @@ def gather(docs: DataFrame) -> DataFrame:
                     seen += np.bincount(data[at], minlength=256)
                     kinds = _classes(s[at])[1]
                     pairs.append(np.unique(np.r_[0, kinds[:-1]] * CLASSES + kinds, return_counts=True))
-            if len(words) >= 5:
+            if len(words) >= 10:
                 words, grams, pairs = [merged(words)], [merged(x) for x in [grams] if x], [merged(x) for x in [pairs] if x]
         if now is not None:
             yield from told(now, words, grams, pairs, texts, seen)
