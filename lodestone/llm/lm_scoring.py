@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bound_batches, give_back, materialise, table, tidied
+from lodestone.llm.common import give_back, materialise, table, tidied
 
 #: Symbol classes of bytes. 0 end, 1 blank, 2-27 letters, 28 digits, 29 stop, 30 comma, 31 other ASCII signs,
 #: 32 controls, 33 the byte C3, 34-36 other lead bytes by length, 37-52 continuation bytes by their low four bits.
@@ -273,7 +273,6 @@ def score_texts(docs: DataFrame, key: str, text: str, held: Column, p_min: float
     A chunk is a run of rows of a partition, ``HELD_BYTES`` of text by the
     partitions' mean lengths; a longer text makes a longer one.
     """
-    bound_batches(docs.sparkSession)
     mean = docs.groupBy(F.spark_partition_id()).agg(F.avg(F.octet_length(F.coalesce(F.col(text), F.lit("")))).alias("m")).agg(F.max("m")).first()[0]
     per_chunk = max(1, int(HELD_BYTES / max(1.0, mean or 0.0)))
     # a row's number in its partition is in the low 33 bits
