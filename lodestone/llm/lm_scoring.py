@@ -160,7 +160,7 @@ def gather(docs: DataFrame) -> DataFrame:
                     seen += np.bincount(data[at], minlength=256)
                     kinds = _classes(s[at])[1]
                     pairs.append(np.unique(np.r_[0, kinds[:-1]] * CLASSES + kinds, return_counts=True))
-            if len(words) >= 10:
+            if len(words) >= 3:
                 words, grams, pairs = [merged(words)], [merged(x) for x in [grams] if x], [merged(x) for x in [pairs] if x]
         if now is not None:
             yield from told(now, words, grams, pairs, texts, seen)
