@@ -129,9 +129,10 @@ def give_back() -> None:
 
 
 def tidied(run):
-    """``run`` for mapInArrow, with :func:`give_back` when a partition ends."""
+    """``run`` for mapInArrow, with :func:`give_back` before a partition, for what the worker's last task left, and after it."""
 
     def whole(batches):
+        give_back()
         try:
             yield from run(batches)
         finally:

@@ -289,6 +289,7 @@ def score_texts(docs: DataFrame, key: str, text: str, held: Column, p_min: float
     n_all, distinct = known[0] + texts, known[1] + (texts > 0)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        give_back()
         model = tree.value
         automaton = model.automaton()
         keys, c = right["key"].to_numpy().view(np.uint64), right["c"].to_numpy()
