@@ -31,7 +31,7 @@ from lodestone.llm.common import bound_batches, give_back, materialise, table, t
 #: 32 controls, 33 the byte C3, 34-36 other lead bytes by length, 37-52 continuation bytes by their low four bits.
 #: Contexts have up to DEPTH symbols; the last DIRECT of them index a table, the ones before follow from state to state.
 SYMBOLS, DEPTH, DIRECT = 53, 6, 4
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: The tree's share in a token's probability.
 TREE_SHARE = 0.25
 #: Bytes of text in a chunk, which one task holds with its word table.
@@ -110,13 +110,21 @@ def gather(docs: DataFrame) -> DataFrame:
     """
 
     def merged(parts):
+        """The sorted keys of the parts and their sums; the first part, which may be large, is not sorted again."""
+        keys, n = parts[0]
         if len(parts) == 1:
-            return parts[0]
-        keys, n = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
-        order = np.argsort(keys)
-        keys, n = keys[order], n[order]
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, dtype=np.int64)
-        return keys[first], np.add.reduceat(n, first) if len(first) else n
+            return keys, n
+        more, count = np.concatenate([x[0] for x in parts[1:]]), np.concatenate([x[1] for x in parts[1:]])
+        parts.clear()
+        order = np.argsort(more, kind="stable")
+        more, count = more[order], count[order]
+        first = np.flatnonzero(np.r_[True, more[1:] != more[:-1]]) if len(more) else np.zeros(0, dtype=np.int64)
+        more, count = more[first], np.add.reduceat(count, first) if len(first) else count
+        at = np.searchsorted(keys, more)
+        old = keys[np.minimum(at, len(keys) - 1)] == more if len(keys) else np.zeros(len(more), dtype=bool)
+        n[at[old]] += count[old]
+        keys = np.insert(keys, at[~old], more[~old])
+        return keys, np.insert(n, at[~old], count[~old])
 
     def told(chunk, words, grams, pairs, texts, seen):
         rows = [(0, *merged(words))] if words else []
@@ -160,8 +168,8 @@ def gather(docs: DataFrame) -> DataFrame:
                     seen += np.bincount(data[at], minlength=256)
                     kinds = _classes(s[at])[1]
                     pairs.append(np.unique(np.r_[0, kinds[:-1]] * CLASSES + kinds, return_counts=True))
-            if len(words) >= 3:
-                words, grams, pairs = [merged(words)], [merged(x) for x in [grams] if x], [merged(x) for x in [pairs] if x]
+                if len(words) >= 5:
+                    words, grams, pairs = [merged(words)], [merged(x) for x in [grams] if x], [merged(x) for x in [pairs] if x]
         if now is not None:
             yield from told(now, words, grams, pairs, texts, seen)
 
