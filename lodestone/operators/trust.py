@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import struct
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -72,6 +73,68 @@ def signature_ok(key: pd.Series, prev: pd.Series, digest: pd.Series, seq: pd.Ser
     return pd.Series([k is not None and s is not None and hmac.compare_digest(sign(bytes(k), p or "", d or "", int(n)), s) for k, p, d, n, s in zip(key, prev, digest, seq, signature)])
 
 
+def register(agents: DataFrame, new: DataFrame) -> DataFrame:
+    """The registry with those of ``new`` whose signature holds; ``at``, the order of registration, goes on after the last.
+
+    Both: agent_id, public_key, valid_from, valid_to, signature, at. The
+    signature is :func:`sign` of agent_id and "valid_from:valid_to" with
+    number 0. Nulls in what is signed make it fail.
+    """
+    span = F.concat_ws(":", F.col("valid_from").cast("string"), F.col("valid_to").cast("string"))
+    whole = F.col("agent_id").isNotNull() & F.col("valid_from").isNotNull() & F.col("valid_to").isNotNull()
+    good = new.filter(whole & signature_ok("public_key", "agent_id", span, F.lit(0), "signature"))
+    last = agents.agg(F.coalesce(F.max("at"), F.lit(0))).first()[0]
+    return agents.unionByName(good.withColumn("at", F.col("at") + F.lit(last)).select(*agents.columns))
+
+
+def agent_of(agents: DataFrame, agent_id: str) -> DataFrame:
+    """The agent's last registration; no row where there is none."""
+    return agents.filter(F.col("agent_id") == agent_id).orderBy(F.desc("at")).limit(1)
+
+
+def _event_hash() -> Column:
+    """SHA-256 over event_id and ts (8 bytes each, big-endian), kind (4 bytes), agent_id, details and the hash before."""
+    number = lambda c, size: F.unhex(F.lpad(F.hex(F.col(c).cast("long")), 2 * size, "0"))
+    text = lambda c: F.coalesce(F.col(c), F.lit("")).cast("binary")
+    return F.unhex(F.sha2(F.concat(number("event_id", 8), number("ts", 8), number("kind", 4), text("agent_id"), text("details"), F.col("previous_hash")), 256))
+
+
+AUDIT = "event_id long, ts long, kind int, agent_id string, details string, previous_hash binary, hash binary"
+
+
+def audit_append(log: DataFrame, events: DataFrame) -> DataFrame:
+    """The audit log with a batch of events (ts, kind, agent_id, details) chained behind it, by time.
+
+    Every hash covers the one before, so the batch, not the log, goes through
+    one task.
+    """
+    end = log.agg(F.max("event_id").alias("n"), F.max_by("hash", "event_id").alias("h")).first()
+    first, before = end["n"] or 0, bytes(end["h"] or bytes(32))
+
+    def run(batches):
+        n, h = first, before
+        for pdf in batches:
+            out = []
+            for ts, kind, agent, details in pdf.itertuples(index=False):
+                n += 1
+                previous, h = h, hashlib.sha256(struct.pack(">qqi", n, ts, kind) + (agent or "").encode() + (details or "").encode() + h).digest()
+                out.append((n, ts, kind, agent, details, previous, h))
+            yield pd.DataFrame(out, columns=["event_id", "ts", "kind", "agent_id", "details", "previous_hash", "hash"])
+
+    ordered = events.select(F.col("ts").cast("long"), F.col("kind").cast("int"), "agent_id", "details").repartition(1).sortWithinPartitions("ts", "kind", "agent_id", "details")
+    return log.unionByName(ordered.mapInPandas(run, AUDIT))
+
+
+def audit_verify(log: DataFrame) -> DataFrame:
+    """(events, valid, first_bad): each hash recomputed and each link checked, by a join on the number before."""
+    before = log.select((F.col("event_id") + 1).alias("event_id"), F.col("hash").alias("_before"))
+    linked = log.join(before, "event_id", "left")
+    link = F.col("previous_hash") == F.when(F.col("event_id") == 1, F.unhex(F.lit("00" * 32))).otherwise(F.col("_before"))
+    ok = F.coalesce(link & (F.col("hash") == _event_hash()), F.lit(False))
+    found = linked.agg(F.count("*").alias("events"), F.min(F.when(~ok, F.col("event_id"))).alias("first_bad"))
+    return found.select("events", F.col("first_bad").isNull().alias("valid"), "first_bad")
+
+
 def export_deltas(ledger: DataFrame, from_seq: int) -> DataFrame:
     return ledger.filter(F.col("seq") >= from_seq)
 

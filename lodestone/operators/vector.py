@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.durable import cut
@@ -116,31 +117,66 @@ class InvertedFile:
     """An approximate index: every row stored by its nearest centroid; a query reads the ``probes`` nearest cells.
 
     Centroids come from a bounded sample (``SAMPLE`` rows with the smallest key
-    hashes); all rows are indexed. Rows are added or deleted by writing their
-    cells anew.
+    hashes); all rows are indexed. There are as many cells as the square root
+    of the rows, ``SAMPLE`` / 10 at most, and as many probes as the sample's
+    own neighbours need for a recall of ``RECALL``. Rows are added or deleted
+    by writing their cells anew.
     """
 
     cells: DataFrame
     centroids: np.ndarray
     key: str
     vector: str
+    probes: int = 6
     SAMPLE = 20_000
+    RECALL = 0.97
+    #: Bytes of query vectors, once for every probe, up to which they go to all tasks; more meet the cells by a shuffle.
+    BROADCAST_BYTES = 64 << 20
 
     @staticmethod
-    def build(df: DataFrame, key: str, vector: str, cells: int = 16, rounds: int = 12, seed: int = 7) -> InvertedFile:
+    def build(df: DataFrame, key: str, vector: str, cells: int | None = None, rounds: int = 12, seed: int = 7) -> InvertedFile:
         rows = df.filter(F.col(vector).isNotNull()).select(key, vector)
         sample = rows.withColumn("_h", F.xxhash64(F.lit(seed), key)).orderBy("_h", key).limit(InvertedFile.SAMPLE).select(vector).toPandas()[vector]
+        if cells is None:
+            cells = max(1, min(math.isqrt(rows.count()), InvertedFile.SAMPLE // 10))
         x = np.stack(sample.to_numpy()).astype(np.float64) if len(sample) else np.zeros((1, 1))
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         rng = np.random.default_rng(seed)
         c = x[rng.choice(len(x), min(cells, len(x)), replace=False)]
         for _ in range(rounds):
             at = (x @ c.T).argmax(axis=1)
-            for k in range(len(c)):
-                if (at == k).any():
-                    m = x[at == k].mean(axis=0)
-                    c[k] = m / max(np.linalg.norm(m), 1e-12)
-        return InvertedFile(cut(InvertedFile._assign(rows, key, vector, c, 1), "cells"), c, key, vector)
+            order = np.argsort(at, kind="stable")
+            used, first = np.unique(at[order], return_index=True)
+            m = np.add.reduceat(x[order], first)
+            c[used] = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+        probes = InvertedFile._needed(x, c, x[rng.choice(len(x), min(200, len(x)), replace=False)])
+        return InvertedFile(cut(InvertedFile._assign(rows, key, vector, c, 1), "cells"), c, key, vector, probes)
+
+    @staticmethod
+    def _needed(x: np.ndarray, c: np.ndarray, asked: np.ndarray, k: int = 10) -> int:
+        """The probes with which the sample finds ``RECALL`` of the ``k`` nearest of some of its own rows."""
+        k = min(k + 1, len(x))
+        near = np.argpartition(-(asked @ x.T), k - 1, axis=1)[:, :k]
+        place = np.argsort(np.argsort(-(asked @ c.T), axis=1), axis=1)  # of each cell, for each row asked
+        at = np.sort(np.take_along_axis(place, (x @ c.T).argmax(axis=1)[near], axis=1).ravel())
+        return int(at[min(len(at) - 1, math.ceil(InvertedFile.RECALL * len(at)) - 1)]) + 1
+
+    def save(self, path: str) -> None:
+        """Write the index as three tables: cells, sorted by cell, centroids and settings."""
+        spark = self.cells.sparkSession
+        self.cells.sortWithinPartitions("cell").write.mode("overwrite").parquet(f"{path}/cells")
+        spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(self.centroids)], "cell long, centroid array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
+        spark.createDataFrame([(self.key, self.vector, self.probes)], "key string, vector string, probes int").coalesce(1).write.mode("overwrite").parquet(f"{path}/settings")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> InvertedFile:
+        found = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()  # SAMPLE / 10 rows at most by default
+        s = spark.read.parquet(f"{path}/settings").first()
+        return InvertedFile(spark.read.parquet(f"{path}/cells"), np.array([r["centroid"] for r in found]), s["key"], s["vector"], s["probes"])
+
+    def merge(self, other: InvertedFile) -> InvertedFile:
+        """This index with the rows of another one, which win where both have a key."""
+        return self.upsert(other.cells.select(F.col(other.key).alias(self.key), F.col(other.vector).alias(self.vector)))
 
     @staticmethod
     def _assign(rows: DataFrame, key: str, vector: str, c: np.ndarray, probes: int) -> DataFrame:
@@ -155,9 +191,12 @@ class InvertedFile:
         kind = rows.schema[key].dataType.simpleString()
         return rows.select(key, vector).mapInPandas(run, f"cell long, `{key}` {kind}, `{vector}` array<float>")
 
-    def search(self, queries: DataFrame, k: int, probes: int = 6) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
         """(query, key, distance, rank) by cosine distance for rows (key, vector) of ``queries``."""
-        asked = self._assign(queries, self.key, self.vector, self.centroids, probes).select("cell", F.col(self.key).alias("query"), F.col(self.vector).alias("_q"))
+        probes = min(probes or self.probes, len(self.centroids))
+        asked = self._assign(queries.filter(F.col(self.vector).isNotNull()), self.key, self.vector, self.centroids, probes).select("cell", F.col(self.key).alias("query"), F.col(self.vector).alias("_q"))
+        if queries.count() * probes * self.centroids.shape[1] * 8 <= self.BROADCAST_BYTES:
+            asked = F.broadcast(asked)
         found = self.cells.join(asked, "cell").select("query", F.col(self.key).alias("key"), cosine_distance(F.col(self.vector), F.col("_q")).alias("distance"))
         w = Window.partitionBy("query").orderBy("distance", "key")
         return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
@@ -165,10 +204,10 @@ class InvertedFile:
     def upsert(self, rows: DataFrame) -> InvertedFile:
         new = self._assign(rows, self.key, self.vector, self.centroids, 1)
         kept = self.cells.join(rows.select(self.key), self.key, "left_anti").select("cell", self.key, self.vector)
-        return InvertedFile(cut(kept.unionByName(new), "cells"), self.centroids, self.key, self.vector)
+        return replace(self, cells=cut(kept.unionByName(new), "cells"))
 
     def delete(self, condition: Column) -> InvertedFile:
-        return InvertedFile(cut(self.cells.filter(~F.coalesce(condition, F.lit(False))), "cells"), self.centroids, self.key, self.vector)
+        return replace(self, cells=cut(self.cells.filter(~F.coalesce(condition, F.lit(False))), "cells"))
 
 
 def hybrid(df: DataFrame, key: str, vector: str, text: str, query: list[float], terms: list[str], k: int, metric: str = COSINE, constant: int = 60) -> DataFrame:

@@ -219,8 +219,7 @@ def vec_batch_exact(spark, sf):
 @_query()
 def vec_index_search(spark, sf):
     df = t(spark, sf, "embeddings")
-    index = vector.InvertedFile.build(df, "vec_id", "embedding", cells=16)
-    return index.search(df.filter("vec_id % 50 = 0"), 10, probes=10)
+    return vector.InvertedFile.build(df, "vec_id", "embedding").search(df.filter("vec_id % 50 = 0"), 10)
 
 
 _HYBRID = f"""WITH d AS (SELECT doc_id, text, CAST(embedding AS DOUBLE[]) AS v FROM documents JOIN embeddings ON doc_id = vec_id),

@@ -177,7 +177,7 @@ def test_graph_writer(diamond, spark):
 
 
 # vectors ------------------------------------------------------------------------------------------------------------
-def test_vector_dimension_and_index_recall(spark):
+def test_vector_dimension_and_index_recall(spark, tmp_path):
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     with pytest.raises(Exception, match="dimensions"):
         vector.VectorSearch(df, "vec_id", "embedding").nearest([1.0, 2.0], 3).collect()
@@ -187,6 +187,13 @@ def test_vector_dimension_and_index_recall(spark):
     assert index.cells.count() == df.count()
     found = {tuple(r) for r in index.search(queries, 10, probes=10).select("query", "key").collect()}
     assert len(exact & found) / len(exact) >= 0.9
+    index = vector.InvertedFile.build(df, "vec_id", "embedding")
+    assert len(index.centroids) > 16
+    index.save(str(tmp_path / "index"))
+    again = vector.InvertedFile.load(spark, str(tmp_path / "index"))
+    assert again.probes == index.probes and again.merge(index).cells.count() == df.count()
+    found = {tuple(r) for r in again.search(queries, 10).select("query", "key").collect()}
+    assert len(exact & found) / len(exact) >= 0.9
     assert index.delete(F.col("vec_id") < 100).cells.count() == df.filter("vec_id >= 100").count()
 
 
@@ -208,6 +215,25 @@ def test_may_append(spark):
     assert {r.seq: r.reason for r in trust.may_append(e, agents).collect()} == {1: None, 2: "co-signature missing", 3: "outside the key's validity", 4: "over the authority ceiling", 5: "unknown agent"}
 
 
+def test_registry_and_audit_log(spark):
+    shape = "agent_id string, public_key binary, valid_from long, valid_to long, signature string, at long"
+    of = lambda name, a, b, at: (name, bytearray(b"k"), a, b, trust.sign(b"k", name, f"{a}:{b}", 0), at)
+    none = spark.createDataFrame([], shape)
+    forged = ("c", bytearray(b"k"), 0, 9, trust.sign(b"other", "c", "0:9", 0), 3)
+    agents = trust.register(none, spark.createDataFrame([of("a", 0, 5, 1), of("b", 0, 9, 2), forged, ("d", None, 0, 1, None, 4)], shape))
+    agents = trust.register(agents, spark.createDataFrame([of("a", 6, 9, 1)], shape))
+    assert sorted(r.agent_id for r in agents.collect()) == ["a", "a", "b"]
+    assert trust.agent_of(agents, "a").first().valid_to == 9 and trust.agent_of(agents, "c").first() is None
+    log = spark.createDataFrame([], trust.AUDIT)
+    events = lambda *rows: spark.createDataFrame(list(rows), "ts long, kind int, agent_id string, details string")
+    log = trust.audit_append(log, events((2, 1, "b", "späte"), (1, 0, "a", None)))
+    log = trust.audit_append(log, events((3, 2, None, "x"))).cache()
+    assert [r.event_id for r in log.orderBy("ts").collect()] == [1, 2, 3]
+    assert tuple(trust.audit_verify(log).first()) == (3, True, None)
+    assert tuple(trust.audit_verify(log.withColumn("details", F.when(F.col("event_id") == 2, "forged").otherwise(F.col("details")))).first()) == (3, False, 2)
+    assert trust.audit_verify(log.filter("event_id <> 2")).first().first_bad == 3
+
+
 def test_reputation_is_the_same_step_by_step(spark):
     obs = [("a", 0, True), ("a", trust.HALF_LIFE, False), ("a", 3 * trust.HALF_LIFE, True)]
     a, b, last = 1.0, 1.0, None
