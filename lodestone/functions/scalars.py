@@ -143,6 +143,32 @@ def row_fingerprint(*columns: Column) -> Column:
     return F.xxhash64(*columns)
 
 
+def crc32(value: Column) -> Column:
+    return F.crc32(value.cast("binary"))
+
+
+#: The 64-bit FNV-1a offset basis (as a signed long); its prime is 2**40 + 435.
+FNV_BASIS, FNV_LOW = 0xCBF29CE484222325 - (1 << 64), 435
+
+
+def fnv1a64(value: Column) -> Column:
+    """The 64-bit FNV-1a hash of a text's UTF-8 bytes, as a signed long. NULL for NULL.
+
+    The product is built from 32-bit halves, as longs that overflow are errors.
+    """
+    raw, mask = value.cast("binary"), F.lit(0xFFFFFFFF)
+
+    def step(h: Column, byte: Column) -> Column:
+        low = h.bitwiseAND(mask).bitwiseXOR(byte)
+        product = low * FNV_LOW
+        high = F.shiftrightunsigned(h, 32) * FNV_LOW + F.shiftleft(low, 8) + F.shiftrightunsigned(product, 32)
+        return F.shiftleft(high.bitwiseAND(mask), 32).bitwiseOR(product.bitwiseAND(mask))
+
+    each = F.transform(F.sequence(F.lit(1), F.octet_length(raw)), lambda i: F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("long"))
+    basis = F.lit(FNV_BASIS).cast("long")
+    return F.when(F.octet_length(raw) == 0, basis).when(F.octet_length(raw) > 0, F.aggregate(each, basis, step))
+
+
 def hkdf_sha256(key: bytes, info: bytes, salt: bytes = b"", length: int = 32) -> bytes:
     """RFC 5869: extract with ``salt``, then expand with ``info``."""
     strong = hmac.new(salt or bytes(32), key, hashlib.sha256).digest()

@@ -133,6 +133,11 @@ def hash_sha256(spark, sf):
     return t(spark, sf, "orders").select("o_orderkey", scalars.sha256_hex(F.col("o_orderpriority")).alias("digest"))
 
 
+@_query("SELECT o_orderkey, printf('%016x', CAST(list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(range(1, strlen(o_orderpriority) + 1), lambda i: CAST(ascii(substr(o_orderpriority, i, 1)) AS UHUGEINT))), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT) AS UBIGINT)) AS digest FROM orders")
+def hash_fnv1a(spark, sf):
+    return t(spark, sf, "orders").select("o_orderkey", F.lower(F.lpad(F.hex(scalars.fnv1a64(F.col("o_orderpriority"))), 16, "0")).alias("digest"))
+
+
 @_query("SELECT o_orderkey, lower(substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12)) AS guid, o_orderkey AS high, o_custkey AS low FROM (SELECT o_orderkey, o_custkey, printf('%016x', o_orderkey) || printf('%016x', o_custkey) AS h FROM orders)")
 def guid_split_merge(spark, sf):
     df = t(spark, sf, "orders").select("o_orderkey", scalars.guid_from_halves(F.col("o_orderkey"), F.col("o_custkey")).alias("guid"))

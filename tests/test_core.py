@@ -2,6 +2,7 @@
 
 import io
 import zipfile
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -215,6 +216,21 @@ def test_may_append(spark):
     assert {r.seq: r.reason for r in trust.may_append(e, agents).collect()} == {1: None, 2: "co-signature missing", 3: "outside the key's validity", 4: "over the authority ceiling", 5: "unknown agent"}
 
 
+def test_fnv_and_crc(spark):
+    texts = ["", "a", "foobar", "späte \U0001f600" * 9, None]
+
+    def plain(text):
+        h = 0xCBF29CE484222325
+        for b in text.encode():
+            h = (h ^ b) * 0x100000001B3 % 2**64
+        return h
+
+    df = spark.createDataFrame([(x,) for x in texts], "x string").select("x", scalars.fnv1a64(F.col("x")).alias("h"), scalars.crc32(F.col("x")).alias("c"))
+    for r in df.collect():
+        assert r.h is None if r.x is None else r.h % 2**64 == plain(r.x)
+        assert r.c is None if r.x is None else r.c == zlib.crc32(r.x.encode())
+
+
 def test_registry_and_audit_log(spark):
     shape = "agent_id string, public_key binary, valid_from long, valid_to long, signature string, at long"
     of = lambda name, a, b, at: (name, bytearray(b"k"), a, b, trust.sign(b"k", name, f"{a}:{b}", 0), at)
