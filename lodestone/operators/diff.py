@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.trust import verify
+
 
 def schema_diff(left: dict[str, DataFrame], right: dict[str, DataFrame]) -> DataFrame:
     """(table, column, change, left_type, right_type): tables and columns of one side, and changed types."""
@@ -68,10 +70,12 @@ def fused_query(arcs: dict[str, dict[str, DataFrame]], table: str, max_rows: int
     return fuse({a: tables[table] for a, tables in arcs.items() if table in tables}, max_rows)
 
 
-def validate(ledger_ok: bool, agents: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(agent_id, trusted, chain_ok): signers against the trusted anchors (agent_id, public_key)."""
-    known = anchors.select("agent_id", "public_key", F.lit(True).alias("trusted"))
-    return agents.join(known, ["agent_id", "public_key"], "left").select("agent_id", F.coalesce("trusted", F.lit(False)).alias("trusted"), F.lit(ledger_ok).alias("chain_ok"))
+def validate(ledger: DataFrame, agents: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(agent_id, trusted, chain_ok): signers against the trusted anchors (agent_id, public_key), and whether the ledger's chain holds."""
+    known = anchors.select("agent_id", "public_key", F.lit(True).alias("trusted")).distinct()
+    chain = verify(ledger).select(F.col("valid").alias("chain_ok"))  # one row
+    out = agents.join(known, ["agent_id", "public_key"], "left").select("agent_id", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    return out.crossJoin(F.broadcast(chain))
 
 
 def latest_by(df: DataFrame, key: str, order: str) -> DataFrame:

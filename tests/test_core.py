@@ -216,6 +216,15 @@ def test_may_append(spark):
     assert {r.seq: r.reason for r in trust.may_append(e, agents).collect()} == {1: None, 2: "co-signature missing", 3: "outside the key's validity", 4: "over the authority ceiling", 5: "unknown agent"}
 
 
+def test_arc_validation(spark):
+    ledger = trust.chain(spark.createDataFrame([(1, "p"), (2, "q")], "seq long, payload string"))
+    agents = spark.createDataFrame([("a", "k"), ("b", "k")], "agent_id string, public_key string")
+    anchors = spark.createDataFrame([("a", "k"), ("a", "k"), ("b", "other")], "agent_id string, public_key string")
+    seen = lambda x: {tuple(r) for r in diff.validate(x, agents, anchors).collect()}
+    assert seen(ledger) == {("a", True, True), ("b", False, True)}
+    assert seen(ledger.withColumn("payload", F.lit("forged"))) == {("a", True, False), ("b", False, False)}
+
+
 def test_fnv_and_crc(spark):
     texts = ["", "a", "foobar", "späte \U0001f600" * 9, None]
 
